@@ -402,12 +402,35 @@ def load_json(path: str) -> tuple[BpeModel, Splitter, list[tuple[bytes, int]]]:
     return BpeModel({b: vocab[w] for w, b in as_bytes.items()}, pairs), Splitter(classify), special
 
 
-def regex_classifier():
-    """Character classes by Unicode category and White_Space."""
+def tiktoken_classifier(path: str):
+    """Character classes as the tiktoken library sees them.
+
+    Where two Unicode versions at hand agree, so does the library, which has one between them. Of other characters the
+    library is asked: after one that is neither letter, number nor space, an apostrophe joins it and no contraction follows.
+    """
+    import unicodedata
+
     import regex
 
     patterns = [(regex.compile(p), kind) for p, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE))]
-    return lambda ch: next((kind for pattern, kind in patterns if pattern.match(ch)), OTHER)
+
+    @lru_cache(maxsize=1)
+    def library():
+        import public_tokenizers
+        import tiktoken
+
+        ranks = load_tiktoken(path).ids
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks.get(b"'s")
+
+    def classify(ch: str) -> int:
+        newer = next((kind for pattern, kind in patterns if pattern.match(ch)), OTHER)
+        older = {"L": LETTER, "N": NUMBER}.get(unicodedata.category(ch)[0], newer if newer == SPACE else OTHER)
+        if newer == older:
+            return newer
+        encoding, contraction = library()
+        return newer if encoding.encode_ordinary(ch + "'s")[-1] == contraction else OTHER
+
+    return classify
 
 
 def cut_at_specials(buf: np.ndarray, offsets: np.ndarray, special: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

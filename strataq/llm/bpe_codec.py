@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from strataq.session import ship_package
 
 from . import _text as tx
-from ._bytebpe import Transducer, load_tiktoken, regex_classifier
+from ._bytebpe import Transducer, load_tiktoken, tiktoken_classifier
 from ._pieces import Splitter, unique_pieces
 
 CACHE = 300_000
@@ -64,7 +64,7 @@ class Codec:
     def __init__(self, path: str):
         self.model = load_tiktoken(path)
         self.transducer = Transducer(self.model)
-        self.splitter = Splitter(regex_classifier())
+        self.splitter = Splitter(tiktoken_classifier(path))
         self.cache: dict[int, tuple[int, ...]] = {}
 
     def pieces(self, buf: np.ndarray, starts: np.ndarray) -> tuple[list[list[int]], np.ndarray]:
