@@ -94,18 +94,19 @@ def _block(rows: DataFrame, asked: DataFrame, k: int, id_col: str) -> DataFrame:
     norm = rows.select(F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c)).alias("m")).first()["m"] or 0.0
     bound = int(np.sqrt(norm) * np.sqrt(max([0.0, *(float(sum(c * c for c in v)) for _, v in own)]))) + 2
     low, width = np.full(n, -bound, np.int64), np.full(n, max(1, -(-(2 * bound + 1) // BINS)), np.int64)
+    top = low + width * BINS  # scores from here on have been counted
     need = np.full(n, k, np.int64)  # how many are still to be found at or below the bin that is split
     done = np.zeros(n, bool)
     while n and not done.all():
-        sent = spark.sparkContext.broadcast((low, width, done))
+        sent = spark.sparkContext.broadcast((low, top, width, done))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lo, wide, over = sent.value
+            lo, hi, wide, over = sent.value
             total = np.zeros(n * BINS, np.int64)
             for batch in batches:
                 for at, _, score in shared.value.scores(batch):
                     part = (score - lo[at][:, None]) // wide[at][:, None]
-                    ok = (part >= 0) & (part < BINS) & (score != NONE) & ~over[at][:, None]
+                    ok = (part >= 0) & (score < hi[at][:, None]) & (score != NONE) & ~over[at][:, None]
                     total += np.bincount((at[:, None] * BINS + part)[ok], minlength=n * BINS)
             hit = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(hit // BINS), pa.array(hit % BINS), pa.array(total[hit])], ["q", "bin", "n"])
@@ -122,6 +123,7 @@ def _block(rows: DataFrame, asked: DataFrame, k: int, id_col: str) -> DataFrame:
                 continue
             need[q] -= r["above"]
             low[q] += r["bin"] * width[q]
+            top[q] = low[q] + width[q]
             if width[q] == 1:
                 done[q] = True
             else:
