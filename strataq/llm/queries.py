@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, token_counts, topk_search, url_filter
+from . import bpe_codec, language_id, token_counts, topk_search, toxicity, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +29,13 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.exact_top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = language_id.remainder("doc_id", 5)
+    found = language_id.predict(docs, language_id.fit(docs.where(fold != 0)))
+    return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
+
+
 #: (host, path, verdict)
 URL_RULES = [
     ("com", "/en/", "block"),
@@ -43,6 +50,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), language_id.remainder("doc_id", 3)
+    classifier = toxicity.fit(docs.where(fold != 1), table(spark, sf_dir, "labels").where(fold != 1))
+    found = toxicity.score(docs, classifier)
+    return found.select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
