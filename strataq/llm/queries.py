@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, language_id, token_counts, topk_search, toxicity, url_filter
+from . import bpe_codec, decontamination, language_id, token_counts, topk_search, toxicity, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -61,6 +61,12 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = decontamination.items_digest().alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, (found["n_hit"] > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

@@ -32,8 +32,8 @@ FEATURES = 4096
 #: Rows of a class that must have a feature.
 SUPPORT = 3
 SWAP_WEIGHT = 2.0
-L2 = 1e-4
-STEPS = 400
+L2 = 1e-5
+STEPS = 800
 #: Terms that name groups of people, by group kind; a term is swapped for the next one of its kind.
 IDENTITY_TERMS = (
     ("women", "men"),
