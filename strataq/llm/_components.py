@@ -1,0 +1,27 @@
+"""Connected components of a table of links, by least-label propagation with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strataq.session import checkpointed
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label): label is the least node reachable by links (a, b). Nodes without links don't appear.
+
+    Each round takes the least label among neighbours and then the label of that label; rounds grow with the logarithm
+    of a component's diameter. Each round's labels are written to the shared folder.
+    """
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    edges = checkpointed(both)
+    labels = checkpointed(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    while True:
+        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
+        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("new"), F.col("label").alias("old"))
+        jump = lower.select(F.col("node").alias("via"), F.col("new").alias("far"))
+        moved = checkpointed(lower.join(jump, lower["new"] == jump["via"], "left").select("node", F.least("new", F.coalesce("far", "new")).alias("label"), "old"))
+        labels = moved.select("node", "label")
+        if moved.where("label <> old").isEmpty():
+            return labels

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontamination, language_id, suffix_dedup, token_counts, topk_search, toxicity, url_filter
+from . import bpe_codec, decontamination, language_id, ngram_join, suffix_dedup, token_counts, topk_search, toxicity, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -36,6 +36,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 #: (host, path, verdict)
 URL_RULES = [
     ("com", "/en/", "block"),
