@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontamination, language_id, ngram_join, suffix_dedup, token_counts, topk_search, toxicity, url_filter
+from . import bpe_codec, decontamination, katz_lm, language_id, ngram_join, suffix_dedup, token_counts, topk_search, toxicity, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -71,13 +71,19 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, (found["n_hit"] > 0).alias("contaminated"))
 
 
+def op9_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = katz_lm.score(table(spark, sf_dir, "documents"), "crc32(cast(cast(doc_id AS string) AS binary)) % 7 <> 2")
+    held_out = language_id.remainder("doc_id", 7) == 2
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
