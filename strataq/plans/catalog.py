@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strataq.corpus import duck_sql, run_sql
 
+from . import retrieval
 from .gallery import STATEMENTS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, sql=sql: run_sql(spark, sf_dir, sql)) for name, sql in STATEMENTS.items()}
+    return {name: (lambda spark, sf_dir, sql=sql: run_sql(spark, sf_dir, sql)) for name, sql in STATEMENTS.items()} | retrieval.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duck_sql(sql) for name, sql in STATEMENTS.items()}
+    return {name: duck_sql(sql) for name, sql in STATEMENTS.items()} | retrieval.SQL

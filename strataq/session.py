@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -11,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows that reach Python at once; texts may be long, so memory wants few.
+BATCH_ROWS = 1000
 
 
 def local_session(cores: int = 8, app: str = "strataq", **conf: str) -> SparkSession:
@@ -31,7 +34,9 @@ def local_session(cores: int = 8, app: str = "strataq", **conf: str) -> SparkSes
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give every executor this package, once per application, so Python workers can import it anywhere."""
+    """Give every executor this package, once per application, and bound the batches that reach Python."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -58,6 +63,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder; survives lost executors."""
+    """Cut lineage through the shared checkpoint folder; survives lost executors.
+
+    What led there isn't needed any more: a collection on the driver lets Spark's cleaner drop its shuffle files.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
