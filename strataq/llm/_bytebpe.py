@@ -12,12 +12,12 @@ from ._pieces import LETTER, NUMBER, OTHER, SPACE, Splitter
 
 
 class BpeModel:
-    """Tokens as bytes with ids, and merges as pairs of ids with (priority, merged id).
+    """Tokens as bytes with ids, and merges: from two ids as one number (left << 20 | right) to the merged id.
 
     Ids follow the priorities: single bytes have the lowest, and of two merges the earlier one has the lower id.
     """
 
-    def __init__(self, tokens: dict[bytes, int], pairs: dict[tuple[int, int], tuple[int, int]]):
+    def __init__(self, tokens: dict[bytes, int], pairs: dict[int, int]):
         self.ids = tokens
         self.bytes = {i: b for b, i in tokens.items()}
         self.pairs = pairs
@@ -34,12 +34,12 @@ class BpeModel:
         while len(ids) > 1:
             best, at = None, -1
             for i in range(len(ids) - 1):
-                found = pairs.get((ids[i], ids[i + 1]))
-                if found is not None and found[1] < below and (best is None or found < best):
+                found = pairs.get(ids[i] << 20 | ids[i + 1])
+                if found is not None and found < below and (best is None or found < best):
                     best, at = found, i
             if best is None:
                 break
-            ids[at : at + 2] = [best[1]]
+            ids[at : at + 2] = [best]
         return ids
 
     def stable(self, token: int) -> bool:
@@ -53,7 +53,7 @@ class BpeModel:
         """The two tokens whose merge makes this one; None for single bytes and tokens that no merges reach."""
         if token not in self._splits:
             parts = self.merge(self.bytes[token], below=token)
-            self._splits[token] = (parts[0], parts[1]) if len(parts) == 2 and self.pairs.get((parts[0], parts[1]), (0, -1))[1] == token else None
+            self._splits[token] = (parts[0], parts[1]) if len(parts) == 2 and self.pairs.get(parts[0] << 20 | parts[1]) == token else None
         return self._splits[token]
 
     def compatible(self, left: int, right: int) -> bool:
@@ -75,8 +75,8 @@ class BpeModel:
             return False
         bound = (1 << 60, 0)  # merges at the border count if they come before this: (rank, 1 if a tie goes to the border)
         while True:
-            joined = self.pairs.get((left, right))
-            if joined is not None and (joined[0], 0) < bound:
+            joined = self.pairs.get(left << 20 | right)
+            if joined is not None and (joined, 0) < bound:
                 return False
             a, b = self.split(left), self.split(right)
             if a is None and b is None:
@@ -371,7 +371,7 @@ def load_tiktoken(path: str) -> BpeModel:
         for cut in range(1, len(token)):
             left, right = tokens.get(token[:cut]), tokens.get(token[cut:])
             if left is not None and right is not None:
-                pairs[left, right] = (rank, rank)
+                pairs[left << 20 | right] = rank
     return BpeModel(tokens, pairs)
 
 
@@ -390,7 +390,7 @@ def load_json(path: str) -> tuple[BpeModel, Splitter, list[tuple[bytes, int]]]:
     pairs = {}
     for merge in spec["model"]["merges"]:
         left, right = merge if isinstance(merge, list) else merge.split(" ")
-        pairs[vocab[left], vocab[right]] = (vocab[left + right], vocab[left + right])
+        pairs[vocab[left] << 20 | vocab[right]] = vocab[left + right]
     split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
 
     def classify(ch: str) -> int:

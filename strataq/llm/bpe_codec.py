@@ -24,7 +24,7 @@ from . import _text as tx
 from ._bytebpe import Transducer, load_tiktoken, tiktoken_classifier
 from ._pieces import Splitter, unique_pieces
 
-CACHE = 300_000
+CACHE = 120_000
 
 
 class StreamDecoder:

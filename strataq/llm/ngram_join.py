@@ -195,12 +195,23 @@ def _similar_sizes(a: str, b: str) -> str:
     return f"least({a}, {b}) * {DENOMINATOR} >= greatest({a}, {b}) * {NUMERATOR}"
 
 
+def packed(shingles: np.ndarray) -> bytes:
+    """The upper 6 bytes of sorted shingles: enough to tell the shingles of two sets apart."""
+    return np.ascontiguousarray(shingles[:, None].view(np.uint8)[:, 2:]).tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).reshape(-1)
+
+
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among candidate pairs (a, b, set_a, set_b): shared shingles by binary search in the other sorted set."""
     for batch in batches:
         ok = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            p, q = unpacked(x.as_buffer()), unpacked(y.as_buffer())
             if len(p) > len(q):
                 p, q = q, p
             at = np.minimum(np.searchsorted(q, p), len(q) - 1)
@@ -236,7 +247,7 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         own.append(i)
                 if len(seen) > 200_000:
                     seen.clear()
-                data = [shingle[bounds[i] : bounds[i + 1]].tobytes() for i in own]
+                data = [packed(shingle[bounds[i] : bounds[i + 1]]) for i in own]
                 yield pa.RecordBatch.from_arrays([pa.array(prints[own].view(np.int64)), pa.array(data, pa.binary())], ["s", "data"])
 
     marked = texts.select("text", "set", F.pmod(F.xxhash64("set"), F.lit(BITS)).alias("slot"))

@@ -26,7 +26,7 @@ from . import _text as tx
 from ._bytebpe import Transducer, cut_at_specials, load_json
 from ._pieces import unique_pieces
 
-CACHE = 500_000
+CACHE = 300_000
 LIMIT = 512
 
 
