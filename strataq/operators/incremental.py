@@ -49,7 +49,7 @@ def queue_state(events: DataFrame, now: str, max_attempts: int = MAX_ATTEMPTS, v
 def sessions(events: DataFrame, key: str, at: str, gap_seconds: float) -> DataFrame:
     """(key, session, first, last, n): events closer than the gap are one batch."""
     order = W.partitionBy(key).orderBy(at)
-    seconds = F.unix_micros(at) / 1e6
+    seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1e6
     new = F.coalesce((seconds - F.lag(seconds).over(order) > gap_seconds).cast("int"), F.lit(0))
     rows = events.withColumn("__new", new).withColumn("session", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     return rows.groupBy(key, "session").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))

@@ -163,8 +163,8 @@ def gr5_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(len(path) - 1,)], "hops int")
 
 
-_PATH_SQL = """WITH RECURSIVE both_ways AS (SELECT from_node AS a, to_node AS b FROM graph_edges WHERE type = 'contains' UNION SELECT to_node, from_node FROM graph_edges WHERE type = 'contains'),
-    walk(node, hops) AS (SELECT 'customer:1', 0 UNION SELECT b, hops + 1 FROM walk JOIN both_ways ON a = node WHERE hops < 6)
+_PATH_SQL = """WITH RECURSIVE both_ways AS (SELECT from_node AS a, to_node AS b FROM graph_edges UNION SELECT to_node, from_node FROM graph_edges),
+    walk(node, hops) AS (SELECT 'customer:1', 0 UNION SELECT b, hops + 1 FROM walk JOIN both_ways ON a = node WHERE hops < 5)
     SELECT CAST(min(hops) AS INTEGER) AS hops FROM walk WHERE node = 'supplier:1'"""
 
 
@@ -213,9 +213,9 @@ def tm5_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.consolidate(view(spark, sf_dir, "memory_records"), NOW, {"session": 90, "user": 300}, 30)
 
 
-_CONSOLIDATE_SQL = """WITH s AS (SELECT supersedes AS record_id, min(asserted_at) AS at FROM memory_records WHERE supersedes IS NOT NULL GROUP BY supersedes),
-    r AS (SELECT m.record_id, s.at, epoch(CAST(replace(replace(asserted_at, 'T', ' '), 'Z', '') AS TIMESTAMP)) + 86400 * CASE scope WHEN 'session' THEN 90 WHEN 'user' THEN 300 END AS deadline, epoch(CAST(replace(replace(s.at, 'T', ' '), 'Z', '') AS TIMESTAMP)) AS sup, epoch(TIMESTAMP '2024-12-31 00:00:00') AS now FROM memory_records m LEFT JOIN s ON s.record_id = m.record_id)
-    SELECT record_id, CASE WHEN at IS NOT NULL THEN 'superseded' ELSE 'expired' END AS reason FROM r WHERE floor((now - CASE WHEN at IS NOT NULL THEN sup WHEN now >= deadline THEN deadline END) / 86400) >= 30"""
+_CONSOLIDATE_SQL = """WITH s AS (SELECT supersedes AS record_id, min(asserted_at) AS first_at FROM memory_records WHERE supersedes IS NOT NULL GROUP BY supersedes),
+    r AS (SELECT m.record_id, s.first_at, epoch(CAST(replace(replace(asserted_at, 'T', ' '), 'Z', '') AS TIMESTAMP)) + 86400 * CASE scope WHEN 'session' THEN 90 WHEN 'user' THEN 300 END AS deadline, epoch(CAST(replace(replace(s.first_at, 'T', ' '), 'Z', '') AS TIMESTAMP)) AS sup, epoch(TIMESTAMP '2024-12-31 00:00:00') AS now FROM memory_records m LEFT JOIN s ON s.record_id = m.record_id)
+    SELECT record_id, CASE WHEN first_at IS NOT NULL THEN 'superseded' ELSE 'expired' END AS reason FROM r WHERE floor((now - CASE WHEN first_at IS NOT NULL THEN sup WHEN now >= deadline THEN deadline END) / 86400) >= 30"""
 
 
 def tm7_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,17 +228,17 @@ _PRUNE_SQL = f"""WITH s AS (SELECT record_id, scope, subject, {_SALIENCE} AS s F
 
 
 def tm13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.clusters(view(spark, sf_dir, "memory_records").where("conv_id < 200"), 0.3)
+    return memory.clusters(view(spark, sf_dir, "memory_records").where("conv_id < 200"), 0.05)
 
 
 def tm13_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.similar_pairs(view(spark, sf_dir, "memory_records").where("conv_id < 200"), 0.3)
+    return memory.similar_pairs(view(spark, sf_dir, "memory_records").where("conv_id < 200"), 0.05)
 
 
 _PAIRS_SQL = """WITH t AS (SELECT DISTINCT record_id, bucket, token FROM (SELECT record_id, scope || '|' || coalesce(subject, '') || '|' || kind || '|' || CASE WHEN scope = 'org' THEN '' ELSE written_by END AS bucket, unnest(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ')) AS token FROM memory_records WHERE conv_id < 200) x WHERE length(token) > 1),
     n AS (SELECT record_id, count(*) AS n FROM t GROUP BY record_id), k AS (SELECT t.*, n.n FROM t JOIN n ON n.record_id = t.record_id),
     p AS (SELECT x.record_id AS a, y.record_id AS b, x.n AS na, y.n AS nb, count(*) AS k FROM k x JOIN k y ON x.bucket = y.bucket AND x.token = y.token AND x.record_id < y.record_id GROUP BY x.record_id, y.record_id, x.n, y.n)
-    SELECT a, b, round(CAST(k AS DOUBLE) / (na + nb - k), 6) AS jaccard FROM p WHERE round(CAST(k AS DOUBLE) / (na + nb - k), 6) >= 0.3"""
+    SELECT a, b, round(CAST(k AS DOUBLE) / (na + nb - k), 6) AS jaccard FROM p WHERE round(CAST(k AS DOUBLE) / (na + nb - k), 6) >= 0.05"""
 
 
 def tg1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,10 +268,11 @@ def tg4_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tg9_gap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = raw(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("series"), F.col("l_linenumber").cast("long").alias("line"), (F.col("l_linenumber") + F.when(F.col("l_quantity") > 40, 2).when(F.col("l_quantity") < 5, -1).otherwise(0)).cast("long").alias("ordinal"))
+    rows = rows.groupBy("series", "line").agg(F.max("ordinal").alias("ordinal"))
     return chunking.gap_audit(rows)
 
 
-_GAP_SQL = """WITH o AS (SELECT l_orderkey AS series, CAST(l_linenumber AS BIGINT) AS line, CAST(l_linenumber + CASE WHEN l_quantity > 40 THEN 2 WHEN l_quantity < 5 THEN -1 ELSE 0 END AS BIGINT) AS ordinal FROM lineitem),
+_GAP_SQL = """WITH o AS (SELECT l_orderkey AS series, CAST(l_linenumber AS BIGINT) AS line, max(CAST(l_linenumber + CASE WHEN l_quantity > 40 THEN 2 WHEN l_quantity < 5 THEN -1 ELSE 0 END AS BIGINT)) AS ordinal FROM lineitem GROUP BY l_orderkey, l_linenumber),
     b AS (SELECT *, max(ordinal) OVER (PARTITION BY series ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o)
     SELECT series, line, CASE WHEN ordinal = before THEN 'duplicate' WHEN ordinal < before THEN 'out_of_order' ELSE 'gap' END AS issue, CASE WHEN ordinal > before + 1 THEN array_to_string(generate_series(before + 1, ordinal - 1), ',') END AS missing FROM b WHERE before IS NOT NULL AND ordinal <> before + 1"""
 
