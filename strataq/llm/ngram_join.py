@@ -11,7 +11,8 @@ on results, only on how many candidates there are.
 1. Equal sets collapse into one class each (their fingerprint); copies meet only in sums and minima.
 2. Short lists: every class sends a row for each of its short lists to the list's bucket.
 3. In a list, each member is paired with the list's least member; pairs are verified, and links make components.
-4. Lists whose members still are in different components give all pairs across components; these are verified too.
+4. Lists whose members still are in different components are tried with other leaders for some rounds; what is left
+   then gives all pairs across components, and these are verified too.
 So within a group of copies the pairs are linear in its size, but no link between different texts is lost that could
 join two components.
 
@@ -40,6 +41,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
 #: Frequent shingles of which all partitions know (16 bytes each).
 FREQUENT = 200_000
+#: Rounds of pairs with one leader for each list before all pairs across components are tried.
+LEADERS = 4
 LOCAL_FREQUENT = 20_000
 FLUSH_BYTES = 32 << 20
 BITS = 1 << 23
@@ -220,23 +223,25 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of sets that are similar enough; the sets are made again from one text of each."""
-    spark = pairs.sparkSession
-    pairs = checkpointed(pairs)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("s"))
-    slot = ends.select(F.pmod(F.xxhash64("s"), F.lit(BITS)).alias("b"))
+def _bitmap(spark, ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size that has a bit for each id s: it lets all of them pass, and few others."""
+    slot = ids.select(F.pmod(F.xxhash64("s"), F.lit(BITS)).alias("b"))
     bits = slot.groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("bits")).toPandas()
     bitmap = np.zeros(BITS // 64, np.int64)
     bitmap[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(bitmap)
+    return bitmap
+
+
+def _sets_of(lists: DataFrame, texts: DataFrame) -> DataFrame:
+    """(s, data): the shingles of each set that is in some list, made again from one of its texts."""
+    spark = lists.sparkSession
+    shared = spark.sparkContext.broadcast(_bitmap(spark, lists.select(F.col("set").alias("s"))))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             place = batch.column(2).to_numpy(zero_copy_only=False)
-            fine = pa.array((shared.value[place >> 6] >> (place & 63)) & 1 == 1)
-            rows = batch.filter(fine)
+            rows = batch.filter(pa.array((shared.value[place >> 6] >> (place & 63)) & 1 == 1))
             for _, _, buf, offsets in _slices(rows, 0):
                 _, shingle, sizes, prints = shingle_sets(buf, offsets)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -251,8 +256,11 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(prints[own].view(np.int64)), pa.array(data, pa.binary())], ["s", "data"])
 
     marked = texts.select("text", "set", F.pmod(F.xxhash64("set"), F.lit(BITS)).alias("slot"))
-    found = checkpointed(marked.mapInArrow(wanted, "s long, data binary"))
-    sets = found.dropDuplicates(["s"])
+    return checkpointed(marked.mapInArrow(wanted, "s long, data binary").groupBy("s").agg(F.first("data").alias("data")))
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of sets that are similar enough."""
     with_b = pairs.join(sets.select(F.col("s").alias("b"), F.col("data").alias("set_b")), "b")
     with_a = with_b.join(sets.select(F.col("s").alias("a"), F.col("data").alias("set_a")), "a")
     return checkpointed(with_a.select("a", "b", "set_a", "set_b").mapInArrow(_probe, "a long, b long"))
@@ -278,24 +286,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signed = signed.where("size IS NOT NULL")
     texts = rows.where("id IS NOT NULL AND text IS NOT NULL").select("text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    sent = texts.mapInArrow(_short_lists(shared, 8 * parts), "bucket long, data binary")
-    lists = checkpointed(sent.repartition(parts, "bucket").mapInArrow(_merge, "list long, set long, size long, least long, least_size long"))
+    lists = checkpointed(texts.mapInArrow(_short_lists(shared, 8 * parts), "bucket long, data binary").repartition(parts, "bucket").mapInArrow(_merge, "list long, set long, size long, least long, least_size long"))
     with_set = texts.mapInArrow(_with_set, "text string, set long")
     stars = lists.where("set <> least").where(_similar_sizes("size", "least_size")).select(F.col("least").alias("a"), F.col("set").alias("b")).distinct()
-    links = _links(stars, with_set)
+    sets = _sets_of(lists, with_set)
+    tried = checkpointed(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = _links(tried, sets)
     labels = components(links)
-    # Members of one list that are in different components: every pair across components that hasn't been tried.
-    member = lists.join(labels, lists["set"] == labels["node"], "left").select("list", "set", "size", F.coalesce("label", "set").alias("label"))
-    mixed = member.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("list")
-    open_ = member.join(mixed, "list").distinct()
-    left, right = open_.alias("x"), open_.alias("y")
-    across = left.join(right, F.expr("x.list = y.list AND x.set < y.set AND x.label <> y.label AND " + _similar_sizes("x.size", "y.size"))).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = checkpointed(across.join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = _links(more, with_set)
+    # Lists whose members are in different components are tried again: with other leaders first, which joins most of a
+    # group of copies by pairs linear in its size, then with every pair across components that hasn't been tried.
+    for turn in range(1, LEADERS + 2):
+        member = lists.join(labels, lists["set"] == labels["node"], "left").select("list", "set", "size", F.coalesce("label", "set").alias("label"))
+        mixed = member.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("set", "size", "label"), F.xxhash64("set", F.lit(turn))).alias("leader")).where("lo <> hi")
+        if turn <= LEADERS:
+            other = member.join(mixed, "list").select("set", "size", "label", F.col("leader.set").alias("set2"), F.col("leader.size").alias("size2"), F.col("leader.label").alias("label2"))
+            across = other.where("label <> label2 AND " + _similar_sizes("size", "size2")).select(F.least("set", "set2").alias("a"), F.greatest("set", "set2").alias("b")).distinct()
+        else:
+            open_ = member.join(mixed.select("list"), "list")
+            across = open_.alias("x").join(open_.alias("y"), F.expr("x.list = y.list AND x.set < y.set AND x.label <> y.label AND " + _similar_sizes("x.size", "y.size"))).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
+        more = checkpointed(across.join(tried, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
+        found = _links(more, sets)
+        tried = tried.union(more)
         if not found.isEmpty():
-            labels = components(links.union(found))
+            links = links.union(found)
+            labels = components(links)
     least = signed.where("size > 0 AND id IS NOT NULL").groupBy("set").agg(F.min("id").alias("least"))
     named = least.join(labels, least["set"] == labels["node"], "left").select("set", "least", F.coalesce("label", "set").alias("label"))
     best = named.groupBy("label").agg(F.min("least").alias("component"))

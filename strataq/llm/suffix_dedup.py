@@ -241,8 +241,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = _keyed(docs, id_col, text_col, [])
     texts = keyed.select("__key", "__text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    sent = texts.mapInArrow(_find_segments(8 * parts), "bucket int, kind int, data binary")
-    met = checkpointed(sent.repartition(parts, "bucket").mapInArrow(_meet, FOUND))
+    met = checkpointed(texts.mapInArrow(_find_segments(8 * parts), "bucket int, kind int, data binary").repartition(parts, "bucket").mapInArrow(_meet, FOUND))
     wanted = met.where("anchor IS NOT NULL")
     bits = wanted.select(F.pmod(F.xxhash64("key"), F.lit(BITS)).alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("bits")).toPandas()
     bitmap = np.zeros(BITS // 64, np.int64)
