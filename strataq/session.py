@@ -67,8 +67,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     What led there isn't needed any more: a collection on the driver lets Spark's cleaner drop its shuffle files.
     """
-    shared_dir(df.sparkSession)
+    session = df.sparkSession
+    shared_dir(session)
     out = df.checkpoint(eager=True)
+    del df
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    session.sparkContext._jvm.System.gc()
     return out
