@@ -103,7 +103,7 @@ def _find_segments(buckets: int):
             order = np.argsort(bucket, kind="stable")
             part, bucket = part[order], bucket[order]
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=False):
                 own = part[a:b]
                 yield int(bucket[a]), kind, (own if kind == 0 else own[["key", "start", "count"]].astype(SPANS)).tobytes()
 
