@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -71,6 +72,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(session)
     out = df.checkpoint(eager=True)
     del df
-    gc.collect()
-    session.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first one finalises, the second one frees
+        gc.collect()
+        session.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
     return out
