@@ -72,8 +72,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(session)
     out = df.checkpoint(eager=True)
     del df
-    for _ in range(2):  # what the first one finalises, the second one frees
+    for _ in range(3):  # what one finalises, the next one frees
         gc.collect()
         session.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(0.6)
     return out
