@@ -1,6 +1,6 @@
 """LM scoring by a Katz backoff model of word bigrams.
 
-Counts are Good-Turing discounted; bigrams seen once are left to the backoff, as Katz proposed. What discounting frees
+Counts up to TRUSTED are Good-Turing discounted, those of 1 too; all bigrams seen in training stay. What discounting frees
 goes to words that didn't follow the history, by their unigram share, with a backoff weight that makes each history's
 distribution sum to 1 exactly (over known words and one unknown word). A token's probability is found recursively:
 its bigram if the table has it, else the history's weight times its unigram.
@@ -186,14 +186,14 @@ def _count(buckets: int):
                 at += len(own)
             real = words != START
             sums = np.array([total[real].sum(), int((total[real] > 0).sum()), *(int((r == i).sum()) for i in range(1, TRUSTED + 2))], np.int64)
-            first = order[edge][r > 1] if len(order) else order
-            h, w, often = left[first], right[first], r[r > 1]
-            of_history = total[np.searchsorted(words, h)]
+            first = order[edge][r > 0] if len(order) else order
+            h, w, often = left[first], right[first], r[r > 0].astype(np.uint32)
             target = (w % np.uint64(buckets)).astype(np.int64)
             out = [("S", 0, bucket, _pack(sums)), ("W", 0, bucket, _pack(words, total))]
             for b in np.unique(target).tolist():
                 own = target == b
-                out.append(("G", 0, b, _pack(h[own], w[own], often[own], of_history[own])))
+                histories, n = np.unique(h[own], return_counts=True)  # h is sorted
+                out.append(("G", 0, b, _pack(histories, n.astype(np.uint32), total[np.searchsorted(words, histories)], w[own], often[own])))
             yield _batch(out)
 
     return run
@@ -208,7 +208,7 @@ class Model:
         k = TRUSTED
         common = (k + 1) * n[k + 1] / n[1] if n[1] else 0.0
         self.discount = np.ones(k + 1)
-        for r in range(2, k + 1):
+        for r in range(1, k + 1):
             d = ((r + 1) * n[r + 1] / n[r] / r - common) / (1 - common) if n[r] and common < 1 else 0.0
             self.discount[r] = d if 0 < d <= 1 else (r - 0.5) / r
 
@@ -234,7 +234,7 @@ def _mass(shared, buckets: int):
         model = shared.value
         for _, rows in _by_bucket(batches):
             words, total = next((a for kind, _, a in rows if kind == "W"), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-            bigrams = [a for kind, _, a in rows if kind == "G"]
+            bigrams = [(np.repeat(a[0], a[1]), a[3], a[4], np.repeat(a[2], a[1])) for kind, _, a in rows if kind == "G"]
             if not bigrams:
                 continue
             h, w, r, count = (np.concatenate([a[i] for a in bigrams]) for i in range(4))
@@ -286,7 +286,7 @@ def _score(shared, buckets: int):
                 r[chunk.pair_bucket == bucket] = _unpack(data)[0]
         share = model.unigram(count)
         seen = scale[chunk.left] * model.discounted(r) / np.maximum(count[chunk.left], 1)
-        p = np.where(r > 1, seen, weight[chunk.left] * share[chunk.right])
+        p = np.where(r > 0, seen, weight[chunk.left] * share[chunk.right])
         begin = chunk.begin[:-1]
         base = np.add.reduceat(np.log10(share)[chunk.place], begin)
         score = np.add.reduceat(np.log10(p)[chunk.pair_of], begin)
@@ -346,8 +346,7 @@ def plain_score(docs: list[tuple[int, str | None]], training: set[int]) -> dict[
 
     kept: dict = {}
     for (h, w), r in two.items():
-        if r > 1:
-            kept.setdefault(h, {})[w] = r
+        kept.setdefault(h, {})[w] = r
 
     def p(h, w) -> float:
         own = kept.get(h, {})

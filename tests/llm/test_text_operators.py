@@ -104,6 +104,14 @@ def test_katz(docs_of):
         assert found[i]["base_score"] == pytest.approx(base) and found[i]["score"] == pytest.approx(score)
 
 
+def test_katz_keeps_single_bigrams(docs_of):
+    texts = ["a b", "a b", "b c", "c d d", "a b c"]
+    found = {r["doc_id"]: r["score"] for r in katz_lm.score(docs_of(texts), "true").collect()}
+    # By hand: counts of counts 5, 3, 2 give the discounts 1/2, 1 and 5/6. Single are start c (of 5), c d (of 3, with
+    # 2 of "c end", scaled from 5/6 to 3/4), d d and d end (of 2).
+    assert 10 ** found[3] == pytest.approx(0.5 / 5 * (0.9 * 0.5 / 3) * 0.5 / 2 * 0.5 / 2)
+
+
 def test_empty_tables(spark, docs_of):
     none = docs_of(["a"]).where("doc_id < 0")
     bench = spark.createDataFrame([], "item_id string, text string")
