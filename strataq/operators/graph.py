@@ -71,14 +71,37 @@ def match_nodes(nodes: DataFrame, tokens: list[str], query: str, k: int) -> Data
     return candidates.select("node_id", "label", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "label", "node_id").limit(k).drop("label")
 
 
+def _shared(x: DataFrame, y: DataFrame, on: str) -> DataFrame:
+    pairs = x.alias("x").join(y.alias("y"), F.expr(f"{on} AND x.node < y.node"))
+    return pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("shared"))
+
+
+def shared_terms(sized: DataFrame) -> DataFrame:
+    """(a, b, na, nb, shared) for pairs of (node, n, term) that share two terms or more.
+
+    Nodes meet by pairs of terms, so a term that very many nodes have joins none that share nothing else; who shares s
+    terms meets s (s - 1) / 2 times.
+    """
+    two = sized.alias("x").join(sized.alias("y"), F.expr("x.node = y.node AND x.term < y.term")).select("x.node", "x.n", F.col("x.term").alias("first"), F.col("y.term").alias("second"))
+    met = _shared(two, two, "x.first = y.first AND x.second = y.second")
+    return met.withColumn("shared", F.round((1 + F.sqrt(1 + 8 * F.col("shared"))) / 2).cast("long"))
+
+
 def similarity_edges(terms: DataFrame, least_shared: int = 2, least_jaccard: float = 0.25) -> DataFrame:
-    """(a, b, shared, confidence) for pairs of (node, term) tables that share enough terms; nodes need two terms."""
+    """(a, b, shared, confidence) for pairs of (node, term) tables that share enough terms; nodes need two terms.
+
+    One shared term is enough only for nodes of few terms: no others meet by single terms.
+    """
     own = terms.distinct()
     sizes = own.groupBy("node").agg(F.count("*").alias("n")).where("n >= 2")
     kept = own.join(sizes, "node")
-    pairs = kept.alias("x").join(kept.alias("y"), F.expr("x.term = y.term AND x.node < y.node"))
-    counted = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("shared"))
     jaccard = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
+    if least_shared < 2:
+        counted = _shared(kept, kept, "x.term = y.term")
+    else:
+        few = kept.where(F.lit(1) / (F.col("n") + 1) >= least_jaccard)
+        by_one = _shared(few, few, f"x.term = y.term AND 1 / (x.n + y.n - 1) >= {least_jaccard!r}D").where("shared = 1")
+        counted = shared_terms(kept).unionByName(by_one)
     return counted.where((F.col("shared") >= least_shared) | (jaccard >= least_jaccard)).select("a", "b", "shared", F.round(jaccard, 3).alias("confidence"))
 
 

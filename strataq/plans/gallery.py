@@ -67,7 +67,6 @@ STATEMENTS: dict[str, str] = {
     "j7_rule_texts": "SELECT subject, @AGG(text; ' '; record_id) AS rules FROM memory_records WHERE kind <> 'fact' GROUP BY subject",
     "j8_vector_hits": "SELECT e.vec_id, c.id FROM embeddings e JOIN chunks c ON c.doc_id = e.vec_id JOIN artifacts a ON a.id = c.artifact_id",
     "j9_correlated_concat": "SELECT n.n_name, (SELECT count(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey) AS customers, (SELECT max(s.s_name) FROM supplier s WHERE s.s_nationkey = n.n_nationkey) AS last_supplier FROM nation n",
-    "j10_shared_terms": "WITH t AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem WHERE l_orderkey <= 2000) SELECT a.o AS a, b.o AS b, count(*) AS shared FROM t a JOIN t b ON a.s = b.s AND a.o < b.o GROUP BY a.o, b.o HAVING count(*) >= 2",
     "j12_suffix_match": "WITH targets AS (SELECT id, relative_path FROM artifacts), suffixes AS (SELECT id, relative_path AS suffix FROM targets UNION ALL SELECT id, split_part(relative_path, '/', 2) || '/' || split_part(relative_path, '/', 3) FROM targets UNION ALL SELECT id, split_part(relative_path, '/', 3) FROM targets), refs AS (SELECT doc_id, 'doc_' || CAST(doc_id + 1 AS STRING) || '.md' AS ref FROM documents) SELECT r.doc_id, s.id FROM refs r JOIN suffixes s ON s.suffix = r.ref",
     "j13_import_resolution": "WITH modules AS (SELECT 'pkg/' || lang || '/' || source || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '/__init__.py' END AS path FROM documents), wanted AS (SELECT DISTINCT lang, source, 'pkg/' || lang || '/' || source AS base FROM documents) SELECT lang, source, path FROM (SELECT w.lang, w.source, m.path, row_number() OVER (PARTITION BY w.lang, w.source ORDER BY CASE WHEN m.path = w.base || '.py' THEN 0 ELSE 1 END) AS r FROM wanted w JOIN modules m ON m.path = w.base || '.py' OR m.path = w.base || '/__init__.py') t WHERE r = 1",
     "j14_link_resolution": "WITH links AS (SELECT page_id, regexp_replace(regexp_replace(url, '[#?].*$', ''), '^https?://', '') AS target FROM pages) SELECT l.page_id, p.page_id AS resolved FROM links l JOIN (SELECT page_id, regexp_replace(regexp_replace(url, '[#?].*$', ''), '^https?://', '') AS own FROM pages) p ON p.own = l.target",

@@ -178,11 +178,16 @@ _MATCH_SQL = """SELECT node_id, score FROM (SELECT node_id, label, greatest(CASE
 
 
 def gr10_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = raw(spark, sf_dir, "lineitem").where("l_orderkey <= 3000").select(F.col("l_orderkey").alias("node"), F.col("l_suppkey").alias("term"))
+    terms = raw(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_suppkey").alias("term"))
     return graph.similarity_edges(terms)
 
 
-_SIMILAR_SQL = """WITH t AS (SELECT DISTINCT l_orderkey AS node, l_suppkey AS term FROM lineitem WHERE l_orderkey <= 3000), n AS (SELECT node, count(*) AS n FROM t GROUP BY node HAVING count(*) >= 2), k AS (SELECT t.*, n.n FROM t JOIN n ON n.node = t.node),
+def j10_shared_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = raw(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_suppkey").alias("term"), F.lit(1).alias("n"))
+    return graph.shared_terms(terms.distinct()).select("a", "b", "shared")
+
+
+_SIMILAR_SQL = """WITH t AS (SELECT DISTINCT l_orderkey AS node, l_suppkey AS term FROM lineitem), n AS (SELECT node, count(*) AS n FROM t GROUP BY node HAVING count(*) >= 2), k AS (SELECT t.*, n.n FROM t JOIN n ON n.node = t.node),
     p AS (SELECT x.node AS a, y.node AS b, x.n AS na, y.n AS nb, count(*) AS shared FROM k x JOIN k y ON x.term = y.term AND x.node < y.node GROUP BY x.node, y.node, x.n, y.n)
     SELECT a, b, shared, round(CAST(shared AS DOUBLE) / (na + nb - shared), 3) AS confidence FROM p WHERE shared >= 2 OR CAST(shared AS DOUBLE) / (na + nb - shared) >= 0.25"""
 
@@ -359,6 +364,7 @@ SQL = {
     "gr5_shortest_path": duck_sql(_PATH_SQL),
     "gr7_match_nodes": duck_sql(_MATCH_SQL),
     "gr10_similarity": _SIMILAR_SQL,
+    "j10_shared_terms": "WITH t AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem) SELECT a.o AS a, b.o AS b, count(*) AS shared FROM t a JOIN t b ON a.s = b.s AND a.o < b.o GROUP BY a.o, b.o HAVING count(*) >= 2",
     "gr20_components": duck_sql(_COMPONENTS_SQL),
     "tm1_ends": duck_sql(_ENDS_SQL),
     "tm6_salience": duck_sql(f"SELECT record_id, {_SALIENCE} AS salience FROM memory_records"),
@@ -376,5 +382,5 @@ SQL = {
     "st14_counters": "SELECT user_id, count(*) AS uses, max(ts) AS last_used_at FROM events GROUP BY user_id",
 }
 
-_NAMES = tuple(n for n in list(globals()) if n[:2] in ("tx", "vx", "ag", "rf", "fp", "gr", "tm", "tg", "st", "ml", "dx") or n.startswith("w14"))
+_NAMES = tuple(n for n in list(globals()) if n[:2] in ("tx", "vx", "ag", "rf", "fp", "gr", "tm", "tg", "st", "ml", "dx") or n.startswith(("w14", "j10")))
 QUERIES = {n: globals()[n] for n in _NAMES if callable(globals()[n]) and n not in ("streams",)}
