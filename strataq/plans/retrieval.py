@@ -233,14 +233,14 @@ _PRUNE_SQL = f"""WITH s AS (SELECT record_id, scope, subject, {_SALIENCE} AS s F
 
 
 def tm13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.clusters(view(spark, sf_dir, "memory_records").where("conv_id < 200"), 0.05)
+    return memory.clusters(view(spark, sf_dir, "memory_records"), 0.05)
 
 
 def tm13_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.similar_pairs(view(spark, sf_dir, "memory_records").where("conv_id < 200"), 0.05)
+    return memory.similar_pairs(view(spark, sf_dir, "memory_records"), 0.05)
 
 
-_PAIRS_SQL = """WITH t AS (SELECT DISTINCT record_id, bucket, token FROM (SELECT record_id, scope || '|' || coalesce(subject, '') || '|' || kind || '|' || CASE WHEN scope = 'org' THEN '' ELSE written_by END AS bucket, unnest(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ')) AS token FROM memory_records WHERE conv_id < 200) x WHERE length(token) > 1),
+_PAIRS_SQL = """WITH t AS (SELECT DISTINCT record_id, bucket, token FROM (SELECT record_id, scope || '|' || coalesce(subject, '') || '|' || kind || '|' || CASE WHEN scope = 'org' THEN '' ELSE written_by END AS bucket, unnest(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ')) AS token FROM memory_records) x WHERE length(token) > 1),
     n AS (SELECT record_id, count(*) AS n FROM t GROUP BY record_id), k AS (SELECT t.*, n.n FROM t JOIN n ON n.record_id = t.record_id),
     p AS (SELECT x.record_id AS a, y.record_id AS b, x.n AS na, y.n AS nb, count(*) AS k FROM k x JOIN k y ON x.bucket = y.bucket AND x.token = y.token AND x.record_id < y.record_id GROUP BY x.record_id, y.record_id, x.n, y.n)
     SELECT a, b, round(CAST(k AS DOUBLE) / (na + nb - k), 6) AS jaccard FROM p WHERE round(CAST(k AS DOUBLE) / (na + nb - k), 6) >= 0.05"""

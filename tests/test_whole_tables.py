@@ -32,3 +32,26 @@ def test_shared_suppliers_of_all_orders(run, query):
         elif query[0] == "g" and min(len(own[a]), len(own[b])) >= 2 and (shared >= 2 or shared / total >= 0.25):
             wanted.add((a, b, shared, round(shared / total, 3)))
     assert len(found) == len(wanted) and {tuple(r) for r in found} == wanted and max(a for a, *_ in wanted) > 3000
+
+
+@pytest.fixture
+def conversations():
+    words = ["red", "green", "blue", "one", "two"]
+    rows = [(c, t, R.choice(["user", "assistant"]), " ".join(R.choices(words, k=R.randint(2, 6)))) for c in [*range(3, 9), *range(260, 500, 6)] for t in range(4)]
+    return rows, "conv_id long, turn long, role string, text string"
+
+
+def test_similar_records_of_all_conversations(spark, run, conversations, tmp_path):
+    found = {(r["a"], r["b"]): r["jaccard"] for r in run("tm13_pairs", conversations=conversations)}
+    clusters = {r["record_id"]: r["canonical"] for r in catalog.queries()["tm13_clusters"](spark, str(tmp_path)).collect()}
+    records = []
+    for c, t, role, text in conversations[0]:
+        scope, subject = ("org", "user", "session")[c % 3], f"Topic {c % 20}" if c % 7 else ""
+        kind = "preference" if (c + t) % 11 == 0 else "alias" if (c + t) % 13 == 0 else "fact"
+        records.append((f"mem-{c}-{t}", (scope, subject, kind, "" if scope == "org" else role), set(text.split())))
+    wanted = {}
+    for (a, of_a, x), (b, of_b, y) in itertools.combinations(sorted(records), 2):
+        if of_a == of_b and x & y:
+            wanted[a, b] = round(len(x & y) / len(x | y), 6)
+    assert found == pytest.approx(wanted) and clusters.keys() == {r for pair in wanted for r in pair}
+    assert any(a > "mem-26" for a in clusters.values())
