@@ -55,3 +55,17 @@ def test_similar_records_of_all_conversations(spark, run, conversations, tmp_pat
             wanted[a, b] = round(len(x & y) / len(x | y), 6)
     assert found == pytest.approx(wanted) and clusters.keys() == {r for pair in wanted for r in pair}
     assert any(a > "mem-26" for a in clusters.values())
+
+
+def test_mean_jaccard_of_all_conversations(run, conversations):
+    words: dict = {}
+    for c, _, _, text in conversations[0]:
+        words.setdefault(c, set()).update(text.split())
+    scores = [len(x & y) / len(x | y) for x, y in itertools.combinations(words.values(), 2)]
+    [found] = run("ag22_mean_jaccard", conversations=conversations)
+    assert found["mean_jaccard"] == pytest.approx(sum(scores) / len(scores), abs=1e-4)
+
+
+def test_json_of_all_events(run):
+    found = run("sql_json", events=([(i, f'{{"k": {i}}}') for i in range(10)], "event_id long, props string"))
+    assert sorted(tuple(r) for r in found) == [(i, str(i)) for i in range(10)]
