@@ -69,3 +69,23 @@ def test_mean_jaccard_of_all_conversations(run, conversations):
 def test_json_of_all_events(run):
     found = run("sql_json", events=([(i, f'{{"k": {i}}}') for i in range(10)], "event_id long, props string"))
     assert sorted(tuple(r) for r in found) == [(i, str(i)) for i in range(10)]
+
+
+def test_graph_has_all_levels(spark, run, tmp_path):
+    tables = {
+        "region": ([(0, "ASIA")], "r_regionkey int, r_name string"),
+        "nation": ([(4, "JAPAN", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": ([(7, "c", 4)], "c_custkey long, c_name string, c_nationkey int"),
+        "supplier": ([(5, "s", 4)], "s_suppkey long, s_name string, s_nationkey int"),
+        "part": ([(2, "p"), (3, "q")], "p_partkey long, p_name string"),
+        "orders": ([(9, 7)], "o_orderkey long, o_custkey long"),
+        # Two rows are the same line; no quantity is over 45.
+        "lineitem": ([(9, 1, 2, 5, 1.0), (9, 1, 2, 5, 45.0), (9, 2, 3, 5, 2.0)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double"),
+        "documents": ([(1, "see https://a.b/c and https://a.b/c", "en", "src0"), (2, "none", "fr", "src0")], "doc_id long, text string, lang string, source string"),
+    }
+    assert {tuple(r) for r in run("ag5_edge_types", **tables)} == {("contains", 3 + 1 + 2 + 2 + 2), ("references", 3), ("links_to", 1)}
+    ask = lambda query: {tuple(r) for r in catalog.queries()[query](spark, str(tmp_path)).collect()}
+    assert ask("j22_orphan_nodes") == set()
+    assert ask("ag19_node_types") == {("region", 1), ("nation", 1), ("customer", 1), ("supplier", 1), ("part", 2), ("order", 1), ("lineitem", 2), ("source", 1), ("document", 2), ("chunk", 2), ("link", 1)}
+    assert ask("sql_recursive") == {(0, 1), (1, 1), (2, 2), (3, 1)}
+    assert ask("ag6_in_degree") == {("p", 2), ("q", 1)}
