@@ -8,6 +8,7 @@ all stages but the last return the columns of docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataq.llm import bpe_codec, decontamination, ngram_join, suffix_dedup, toxicity
@@ -27,12 +28,18 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an id are in no group and stay."""
-    found = ngram_join.jaccard_components(docs)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi")
-    if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
+    """Documents without an id are in no group and stay. Rows that share an id are compared like any others."""
+    own = docs.where("doc_id IS NOT NULL")
+    if own.groupBy("doc_id").count().where("count > 1").isEmpty():
+        found = ngram_join.jaccard_components(own)
+        kept = own.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    else:
+        # Rows are known by id and place among those of the id, in the order of their texts.
+        place = F.row_number().over(W.partitionBy("doc_id").orderBy("text", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+        keyed = own.withColumn("__place", place).withColumn("__key", F.xxhash64("doc_id", "__place"))
+        found = ngram_join.jaccard_components(keyed.select("__key", "text"), "__key")
+        least = keyed.select("__key", "doc_id", "__place").join(found, "__key").groupBy("component_id").agg(F.min(F.struct("doc_id", "__place", "__key")).alias("first"))
+        kept = keyed.join(least.select(F.col("first.__key").alias("__key")), "__key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -31,3 +31,14 @@ def test_pipeline(spark, tmp_path):
     dirty = decontamination.plain_contamination(kept, [("1", item)])
     assert found == {i: digest for i, digest in after.items() if not dirty[i][1]}
     assert hashlib.sha256(b"").hexdigest() in found.values()
+
+
+def test_join_stage_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline as cp
+
+    words = [f"w{i}" for i in range(90)]
+    first, second, third = (" ".join(words[i : i + 30]) for i in (0, 30, 60))
+    rows = [(1, first), (2, first), (2, second), (2, second), (3, ""), (3, ""), (4, third), (4, third + " more"), (None, first)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted(((r["doc_id"] or 0, r["text"]) for r in cp.ngram_join_stage(spark, docs, "").collect()))
+    assert found == [(0, first), (1, first), (2, second), (3, ""), (3, ""), (4, third)]
