@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataq.session import checkpointed
+from strataq.session import checkpointed, forget
 
 
 def neighbors(edges: DataFrame, start: str, depth: int, edge_types: list[str] | None = None, exclude_edge_types: list[str] | None = None) -> DataFrame:
@@ -106,14 +106,19 @@ def similarity_edges(terms: DataFrame, least_shared: int = 2, least_jaccard: flo
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): label is the least node reachable by links (a, b). Rounds grow with the logarithm of diameters."""
+    """(node, label): label is the least node reachable by links (a, b). Rounds grow with the logarithm of diameters.
+
+    A round takes the least label of a node's neighbours and then that label's own label; its table replaces the last.
+    """
     edges = checkpointed(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
     labels = checkpointed(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
         lower = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("new"), F.col("label").alias("old"))
-        jump = lower.select(F.col("node").alias("via"), F.col("new").alias("far"))
+        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
         moved = checkpointed(lower.join(jump, lower["new"] == jump["via"], "left").select("node", F.least("new", F.coalesce("far", "new")).alias("label"), "old"))
+        forget(labels)
         labels = moved.select("node", "label")
         if moved.where("label <> old").isEmpty():
+            forget(edges)
             return labels

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -15,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED: set[str] = set()
 #: Rows that reach Python at once; texts may be long, so memory wants few.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
+#: Spark's setting by which the shuffle files of a query go when it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int = 8, app: str = "strataq", **conf: str) -> SparkSession:
@@ -38,6 +39,7 @@ def ship_package(spark: SparkSession) -> None:
     """Give every executor this package, once per application, and bound the batches that reach Python."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -51,29 +53,40 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that all executors share: the session's spark.checkpoint.dir. Only a local master may go without it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return str(current.get())
-        where = os.path.join(tempfile.gettempdir(), "strataq-checkpoints")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
+    if where:
+        return where
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return str(current.get())
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "strataq-checkpoints")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder; survives lost executors.
+    """The rows as a table in the shared folder: cuts lineage and survives lost executors.
 
-    What led there isn't needed any more: a collection on the driver lets Spark's cleaner drop its shuffle files.
+    What the write has shuffled goes when it ends, as its rows are in the table.
     """
     session = df.sparkSession
-    shared_dir(session)
-    out = df.checkpoint(eager=True)
-    del df
-    for _ in range(3):  # what one finalises, the next one frees
-        gc.collect()
-        session.sparkContext._jvm.System.gc()
-        time.sleep(0.6)
-    return out
+    path = f"{shared_dir(session).rstrip('/')}/strataq-{uuid.uuid4().hex}"
+    before = session.conf.get(DROP_SHUFFLES, "false")
+    session.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        session.conf.set(DROP_SHUFFLES, before)
+    return session.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table that checkpointed() wrote, once later tables have replaced it."""
+    session = df.sparkSession
+    jvm = session.sparkContext._jvm
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName().startswith("strataq-"):
+            path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
