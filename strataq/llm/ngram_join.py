@@ -1,53 +1,63 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip.
 
-A text's set is its distinct shingles of WORDS words. Two sets of n and m shingles with similarity t share at least
-t (n + m) / (1 + t) of them, so a partner of a set of n must occur in T = ceil(t n) of the n inverted lists of its
-shingles. DivideSkip sets the T - 1 longest lists aside: a partner must occur in one of the other n - T + 1, the short
-lists. These are merged (all lists of a bucket by sorting, in one pass), and the long lists are only probed for
-candidates, by binary search of the other set's sorted shingles. Which lists count as long is decided by one order for
-all sets: shingles that are frequent in some partition last, by frequency, the rest by hash. The order has no effect
-on results, only on how many candidates there are.
+A text's set is its distinct shingles of WORDS words. Two sets of n and m shingles are similar if they share
+T = ceil(t (n + m) / (1 + t)) of them, so a partner of a set of n occurs in at least ceil(t n) of the n inverted lists of
+its shingles. DivideSkip sets the longest ceil(t n) - 1 lists aside: a partner must occur in one of the others, the short
+lists. Short lists are merged, with a count of each candidate's occurrences; the long ones are only probed for candidates
+by binary search, shortest first, until a candidate has T occurrences or can't reach them.
 
 1. Equal sets collapse into one class each (their fingerprint); copies meet only in sums and minima.
-2. Short lists: every class sends a row for each of its short lists to the list's bucket.
-3. In a list, each member is paired with the list's least member; pairs are verified, and links make components.
-4. Lists whose members still are in different components are tried with other leaders for some rounds; what is left
-   then gives all pairs across components, and these are verified too.
-So within a group of copies the pairs are linear in its size, but no link between different texts is lost that could
-join two components.
+2. Every class sends a row for each of its short lists to the list's bucket. Which lists are short follows one order for
+   all classes: shingles that are frequent in some partition last, by frequency, the rest by hash.
+3. The lists that have the same least member are a unit, and so are the members of each very long list. Lists with one
+   member are dropped here. Similar classes are together in some unit.
+4. Each class's shingles are sent once to each of its units; a large unit is dealt in blocks, and each two blocks meet.
+   There a T-occurrence search finds the links: every class asks the inverted lists of its unit. Two classes are
+   compared in the least of their common units only.
+5. What leaves is each class's number of links, and of the links a forest, linear in the members; components of the
+   forest are the result's. No pairs are shuffled, and none are left untried.
+
+The order and the units have no effect on results, only on how many candidates there are. A bucket holds one entry a
+class for each list, a very long list's entries are dealt over all buckets, and a task of step 4 holds two blocks.
 
 Null or empty texts have an empty set and are linked with nothing; texts under WORDS words have one shingle. Repeated
-rows have equal sets and so one component. Rows with a null id get their n_shingles and a null component and take no
-part otherwise. Extra columns are dropped; an empty table gives an empty result. Shingles are known by 64-bit hashes.
+rows have equal sets, are linked, and so have one component. Rows with a null id get their n_shingles, a null component
+and null n_links and take no part otherwise. Extra columns are dropped; an empty table gives an empty result. Shingles
+are known by 64-bit hashes, by 48 bits where two classes meet.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.session import checkpointed, ship_package
+from strataq.operators.graph import components
+from strataq.session import checkpointed, forget, ship_package
 
 from . import _text as tx
-from ._components import components
 
 WORDS = 5
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
 NUMERATOR, DENOMINATOR = 80, 100
 #: Frequent shingles of which all partitions know (16 bytes each).
 FREQUENT = 200_000
-#: Rounds of pairs with one leader for each list before all pairs across components are tried.
-LEADERS = 4
 LOCAL_FREQUENT = 20_000
 FLUSH_BYTES = 32 << 20
 BITS = 1 << 23
 
-POSTING = np.dtype([("shingle", "u8"), ("set", "u8"), ("size", "u4")])
+#: A shingle that is this frequent has a list that no single bucket holds.
+VERY_LONG = 200_000
+#: Classes, and bytes of shingles, in a block of a unit.
+BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
+#: Candidates and lists that are probed at once.
+PROBED, STEP = 100_000, 8
+
+POSTING = np.dtype([("shingle", "u8"), ("set", "u8")])
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -115,21 +125,22 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield frequent(held)
 
 
-def _short_lists(shared, buckets: int):
-    """Rows (bucket, data) of postings: for each class of this partition its short lists."""
+def _short_lists(shared, buckets: int, very_long: int):
+    """Rows (bucket, kind, data) of postings: for each class of this partition its short lists, kind 1 those very long."""
 
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+    def flush(held: list[np.ndarray], long: list[np.ndarray]) -> pa.RecordBatch:
         rows = np.concatenate([np.zeros(0, POSTING), *held])
-        bucket = (rows["shingle"] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        rows, bucket = rows[order], bucket[order]
-        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(rows) else np.zeros(0, np.int64)
+        kind = np.concatenate([np.zeros(0, bool), *long]).astype(np.int64)
+        bucket = (np.where(kind == 1, tx.mix64(rows["shingle"] ^ rows["set"]), rows["shingle"]) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((kind, bucket))
+        rows, bucket, kind = rows[order], bucket[order], kind[order]
+        cuts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])])) if len(rows) else np.zeros(0, np.int64)
         data = [rows[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)], strict=False)]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()), pa.array(data, pa.binary())], ["bucket", "data"])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()), pa.array(kind[cuts], pa.int64()), pa.array(data, pa.binary())], ["bucket", "kind", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, counts = shared.value
-        held, size, seen = [], 0, set()
+        held, long, size, seen = [], [], 0, set()
         for batch in batches:
             for _, _, buf, offsets in _slices(batch, 0):
                 doc, shingle, sizes, prints = shingle_sets(buf, offsets)
@@ -140,62 +151,67 @@ def _short_lists(shared, buckets: int):
                         fresh[i] = True
                 own = fresh[doc]
                 doc, shingle = doc[own], shingle[own]
-                key = shingle >> np.uint64(1)
+                key, count = shingle >> np.uint64(1), np.zeros(len(shingle), np.uint64)
                 if len(often) and len(shingle):
                     at = np.minimum(np.searchsorted(often, shingle), len(often) - 1)
                     hit = often[at] == shingle
-                    key[hit] = np.uint64(1 << 63) | counts[at[hit]] << np.uint64(20) | shingle[hit] & np.uint64(0xFFFFF)
+                    count[hit] = counts[at[hit]]
+                    key[hit] = np.uint64(1 << 63) | count[hit] << np.uint64(20) | shingle[hit] & np.uint64(0xFFFFF)
                 order = np.lexsort((key, doc))
-                doc, shingle = doc[order], shingle[order]
+                doc, shingle, count = doc[order], shingle[order], count[order]
                 own_sizes = np.where(fresh, sizes, 0)
-                place = np.arange(len(doc)) - np.repeat(np.concatenate([[0], np.cumsum(own_sizes)[:-1]]), own_sizes)
+                place = np.arange(len(doc)) - np.repeat(np.cumsum(own_sizes) - own_sizes, own_sizes)
                 short = place <= (sizes - need(sizes))[doc]
                 rows = np.zeros(int(short.sum()), POSTING)
-                rows["shingle"], rows["set"], rows["size"] = shingle[short], prints[doc[short]], sizes[doc[short]]
+                rows["shingle"], rows["set"] = shingle[short], prints[doc[short]]
                 held.append(rows)
+                long.append(count[short] >= very_long)
                 size += len(buf)
                 if size > FLUSH_BYTES:
-                    yield flush(held)
-                    held, size = [], 0
+                    yield flush(held, long)
+                    held, long, size = [], [], 0
                     seen.clear()
-        yield flush(held)
+        yield flush(held, long)
 
     return run
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges the lists of a bucket: rows (list, set, size, least) of the lists with several members.
-
-    Lists with the same members are one, named by a hash of its members; least is the list's least member.
-    """
-    parts = [np.zeros(0, POSTING)]
+    """Merges the lists of each bucket, from rows sorted by bucket: rows (set, unit) of the lists with several members."""
+
+    def pairs_of(sets: np.ndarray, units: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((sets, units))
+        sets, units = sets[order], units[order]
+        if len(sets):
+            new = np.concatenate([[True], (sets[1:] != sets[:-1]) | (units[1:] != units[:-1])])
+            sets, units = sets[new], units[new]
+        for i in range(0, len(sets), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(sets[i : i + 50_000].view(np.int64)), pa.array(units[i : i + 50_000].view(np.int64))], ["set", "unit"])
+
+    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate([np.zeros(0, POSTING), *held])
+        rows = rows[np.lexsort((rows["set"], rows["shingle"]))]
+        if not len(rows):
+            return
+        same = rows["shingle"][1:] == rows["shingle"][:-1]
+        rows = rows[np.concatenate([[True], ~(same & (rows["set"][1:] == rows["set"][:-1]))])]
+        begin = np.flatnonzero(np.concatenate([[True], rows["shingle"][1:] != rows["shingle"][:-1]]))
+        n = np.diff(np.append(begin, len(rows)))
+        several = np.repeat(n > 1, n)
+        yield from pairs_of(rows["set"][several], np.repeat(rows["set"][begin], n)[several])
+
+    held, at = [], None
     for batch in batches:
-        parts += [np.frombuffer(x.as_py(), POSTING) for x in batch.column(1)]
-    rows = np.concatenate(parts)
-    rows = rows[np.lexsort((rows["set"], rows["shingle"]))]
-    if not len(rows):
-        return
-    same = rows["shingle"][1:] == rows["shingle"][:-1]
-    rows = rows[np.concatenate([[True], ~(same & (rows["set"][1:] == rows["set"][:-1]))])]
-    begin = np.flatnonzero(np.concatenate([[True], rows["shingle"][1:] != rows["shingle"][:-1]]))
-    n = np.diff(np.append(begin, len(rows)))
-    name = tx.mix64(np.add.reduceat(tx.mix64(rows["set"]), begin) + n.astype(np.uint64))
-    keep = n > 1
-    _, first = np.unique(name[keep], return_index=True)
-    chosen = np.flatnonzero(keep)[first]
-    for i in range(0, len(chosen), 4096):
-        part = chosen[i : i + 4096]
-        at = np.repeat(begin[part] - np.concatenate([[0], np.cumsum(n[part])[:-1]]), n[part]) + np.arange(int(n[part].sum()))
-        least = rows["set"][begin[part]]
-        sizes = rows["size"][begin[part]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(name[part], n[part]).view(np.int64)), pa.array(rows["set"][at].view(np.int64)), pa.array(rows["size"][at].astype(np.int64)), pa.array(np.repeat(least, n[part]).view(np.int64)), pa.array(np.repeat(sizes, n[part]).astype(np.int64))],
-            ["list", "set", "size", "least", "least_size"],
-        )
-
-
-def _similar_sizes(a: str, b: str) -> str:
-    return f"least({a}, {b}) * {DENOMINATOR} >= greatest({a}, {b}) * {NUMERATOR}"
+        for bucket, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if bucket != at:
+                yield from flush(held)
+                held, at = [], bucket
+            rows = np.frombuffer(data.as_py(), POSTING)
+            if kind:
+                yield from pairs_of(rows["set"], rows["shingle"])
+            else:
+                held.append(rows)
+    yield from flush(held)
 
 
 def packed(shingles: np.ndarray) -> bytes:
@@ -209,71 +225,163 @@ def unpacked(data) -> np.ndarray:
     return wide.view(np.uint64).reshape(-1)
 
 
-def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among candidate pairs (a, b, set_a, set_b): shared shingles by binary search in the other sorted set."""
+def links_within(sets: list[np.ndarray], may: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b), a < b, of similar sets, by a T-occurrence search; may says which candidates are wanted here."""
+    m = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(m), sizes)
+    _, list_of, length = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keys = np.sort(list_of * m + owner)  # all inverted lists, each in the order of its members
+    member, begin = keys % m, np.cumsum(length) - length
+    order = np.lexsort((length[list_of], owner))  # each set's lists, shortest first
+    lists = list_of[order]
+    first = np.cumsum(sizes) - sizes
+    aside = need(sizes) - 1
+    short = np.flatnonzero((np.arange(len(lists)) - first[owner] < (sizes - aside)[owner]) & (length[lists] > 1))
+    work = np.cumsum(np.bincount(owner[short], weights=length[lists[short]], minlength=m))
+    at = 0
+    while at < m:
+        end = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + 1_000_000, side="right")))
+        own = short[(owner[short] >= at) & (owner[short] < end)]
+        at = end
+        n = length[lists[own]]
+        a = np.repeat(owner[own], n)
+        b = member[np.repeat(begin[lists[own]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        found, count = np.unique((a * m + b)[b > a], return_counts=True)  # merged: occurrences of each candidate
+        a, b = found // m, found % m
+        fits = (np.minimum(sizes[a], sizes[b]) * DENOMINATOR >= np.maximum(sizes[a], sizes[b]) * NUMERATOR) & may(a, b)
+        a, b, count = a[fits], b[fits], count[fits]
+        for i in range(0, len(a), PROBED):
+            x, y, have = a[i : i + PROBED], b[i : i + PROBED], count[i : i + PROBED]
+            least = -(-(sizes[x] + sizes[y]) * NUMERATOR // (NUMERATOR + DENOMINATOR))
+            step = 0
+            while len(x):
+                done = have >= least
+                if done.any():
+                    yield x[done], y[done]
+                left = aside[x] - step
+                go = ~done & (have + left >= least)
+                x, y, have, least, left = x[go], y[go], have[go], least[go], left[go]
+                if not len(x):
+                    break
+                width = np.arange(STEP)
+                there = width < left[:, None]
+                asked = lists[np.where(there, (first[x] + sizes[x] - aside[x] + step)[:, None] + width, 0)] * m + y[:, None]
+                hit = keys[np.minimum(np.searchsorted(keys, asked), len(keys) - 1)] == asked
+                have = have + (hit & there).sum(axis=1)
+                step += STEP
+
+
+def _unit_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 4, from rows (unit, i, j, set, block, copies, units, data) sorted by unit, i and j: rows (set, root, linked).
+
+    root is the least class that links lead to within the task, linked the number of documents that its links lead to.
+    """
+
+    def flush(unit: int, cross: bool, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len(rows) < 2:
+            return
+        rows.sort(key=lambda r: r[0])
+        names = np.array([r[0] for r in rows], np.int64)
+        block, copies = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+        # Two members of a common unit that is less than this one are compared there.
+        number: dict[int, int] = {}
+        lower = [(k, number.setdefault(u, len(number))) for k, r in enumerate(rows) for u in r[3] if u < unit]
+        bits = np.zeros((len(rows), len(number) // 64 + 1), np.uint64)
+        for k, n in lower:
+            bits[k, n // 64] |= np.uint64(1 << n % 64)
+
+        def may(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            ok = np.ones(len(a), bool)
+            for column in bits.T:
+                ok &= (column[a] & column[b]) == 0
+            return ok & (block[a] != block[b]) if cross else ok
+
+        a, b = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 2, *links_within([unpacked(r[4]) for r in rows], may), strict=True))
+        if not len(a):
+            return
+        linked = np.bincount(a, weights=copies[b], minlength=len(rows)) + np.bincount(b, weights=copies[a], minlength=len(rows))
+        root = np.arange(len(rows))
+        while True:
+            new = root.copy()
+            np.minimum.at(new, a, root[b])
+            np.minimum.at(new, b, root[a])
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        out = np.flatnonzero(linked > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(names[out]), pa.array(names[root[out]]), pa.array(linked[out].astype(np.int64))], ["set", "root", "linked"])
+
+    held, at = [], None
     for batch in batches:
-        ok = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            p, q = unpacked(x.as_buffer()), unpacked(y.as_buffer())
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-            shared = int(np.sum(q[at] == p))
-            ok.append(DENOMINATOR * shared >= NUMERATOR * (len(p) + len(q) - shared))
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-
-def _bitmap(spark, ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size that has a bit for each id s: it lets all of them pass, and few others."""
-    slot = ids.select(F.pmod(F.xxhash64("s"), F.lit(BITS)).alias("b"))
+        key = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        sets, blocks, copies, units = (batch.column(i).to_pylist() for i in range(3, 7))
+        for k, row in enumerate(zip(sets, blocks, copies, units, batch.column(7), strict=True)):
+            if key[k] != at:
+                if held:
+                    yield from flush(at[0], at[1] != at[2], held)
+                held, at = [], key[k]
+            held.append((*row[:4], row[4].as_py()))
+    if held:
+        yield from flush(at[0], at[1] != at[2], held)
+    tx.trim()
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size that has a bit for each set: it lets all of them pass, and few others."""
+    slot = ids.select(F.col("set").bitwiseAND(BITS - 1).alias("b"))
     bits = slot.groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("bits")).toPandas()
     bitmap = np.zeros(BITS // 64, np.int64)
     bitmap[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
     return bitmap
 
 
-def _sets_of(lists: DataFrame, texts: DataFrame) -> DataFrame:
-    """(s, data): the shingles of each set that is in some list, made again from one of its texts."""
-    spark = lists.sparkSession
-    shared = spark.sparkContext.broadcast(_bitmap(spark, lists.select(F.col("set").alias("s"))))
+def _sets_of(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(set, data): the shingles of each set that is in some unit, made again from one of its texts."""
+    shared = members.sparkSession.sparkContext.broadcast(_bitmap(members))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            place = batch.column(2).to_numpy(zero_copy_only=False)
-            rows = batch.filter(pa.array((shared.value[place >> 6] >> (place & 63)) & 1 == 1))
-            for _, _, buf, offsets in _slices(rows, 0):
+            for _, _, buf, offsets in _slices(batch, 0):
                 _, shingle, sizes, prints = shingle_sets(buf, offsets)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
+                place = (prints & np.uint64(BITS - 1)).astype(np.int64)
                 own = []
-                for i, p in enumerate(prints.tolist()):
-                    if sizes[i] and p not in seen:
+                for i in np.flatnonzero((sizes > 0) & ((shared.value[place >> 6] >> (place & 63)) & 1 == 1)).tolist():
+                    if (p := int(prints[i])) not in seen:
                         seen.add(p)
                         own.append(i)
                 if len(seen) > 200_000:
                     seen.clear()
-                data = [packed(shingle[bounds[i] : bounds[i + 1]]) for i in own]
-                yield pa.RecordBatch.from_arrays([pa.array(prints[own].view(np.int64)), pa.array(data, pa.binary())], ["s", "data"])
-
-    marked = texts.select("text", "set", F.pmod(F.xxhash64("set"), F.lit(BITS)).alias("slot"))
-    return checkpointed(marked.mapInArrow(wanted, "s long, data binary").groupBy("s").agg(F.first("data").alias("data")))
-
-
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of sets that are similar enough."""
-    with_b = pairs.join(sets.select(F.col("s").alias("b"), F.col("data").alias("set_b")), "b")
-    with_a = with_b.join(sets.select(F.col("s").alias("a"), F.col("data").alias("set_a")), "a")
-    return checkpointed(with_a.select("a", "b", "set_a", "set_b").mapInArrow(_probe, "a long, b long"))
-
-
-def _with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = [shingle_sets(buf, offsets)[3] for _, _, buf, offsets in _slices(batch, 0)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0, np.uint64), *prints]).view(np.int64))], ["text", "set"])
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every document."""
+                if own:
+                    data = [packed(shingle[bounds[i] : bounds[i + 1]]) for i in own]
+                    yield pa.RecordBatch.from_arrays([pa.array(prints[own].view(np.int64)), pa.array(data, pa.binary())], ["set", "data"])
+
+    return texts.mapInArrow(wanted, "set long, data binary").groupBy("set").agg(F.first("data").alias("data"))
+
+
+def class_links(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], classes: DataFrame, parts: int, very_long: int = VERY_LONG, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(set, root, linked) of classes (set, size, copies, ...) that are linked with others, a row for each of their units."""
+    shared = texts.sparkSession.sparkContext.broadcast(often)
+    postings = texts.mapInArrow(_short_lists(shared, 8 * parts, very_long), "bucket long, kind long, data binary")
+    met = checkpointed(postings.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge, "set long, unit long"))
+    member = met.distinct().join(classes.select("set", "size", "copies"), "set")
+    blocks = member.groupBy("unit").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("size") * 6 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = member.join(blocks, "unit").groupBy("set").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("unit", "blocks")).alias("own"))
+    sets = placed.join(_sets_of(met, texts), "set").select("set", "copies", "data", F.col("own.unit").alias("units"), F.explode("own").alias("o"))
+    block = F.pmod(F.xxhash64("set", "o.unit"), F.col("o.blocks")).cast("int")
+    dealt = sets.select("set", "copies", "data", "units", F.col("o.unit").alias("unit"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("o.blocks") - 1)).alias("other"))
+    tasks = dealt.select("unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set", "block", "copies", "units", "data")
+    keyed = tasks.repartition(parts, "unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+    found = checkpointed(keyed.mapInArrow(_unit_links, "set long, root long, linked long"))
+    forget(met)
+    return found
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
+    """(id, n_shingles, component_id, n_links) of every document; n_links counts the documents that it is linked with."""
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -282,52 +390,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     often = signed.where("size IS NULL").groupBy("set").agg(F.sum("id").alias("n")).orderBy(F.desc("n"), "set").limit(FREQUENT).toPandas()
     keys, counts = often["set"].to_numpy(np.int64).view(np.uint64), np.minimum(often["n"].to_numpy(np.int64), (1 << 42) - 1).astype(np.uint64)
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((keys[order], counts[order]))
     signed = signed.where("size IS NOT NULL")
     texts = rows.where("id IS NOT NULL AND text IS NOT NULL").select("text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    lists = checkpointed(texts.mapInArrow(_short_lists(shared, 8 * parts), "bucket long, data binary").repartition(parts, "bucket").mapInArrow(_merge, "list long, set long, size long, least long, least_size long"))
-    with_set = texts.mapInArrow(_with_set, "text string, set long")
-    stars = lists.where("set <> least").where(_similar_sizes("size", "least_size")).select(F.col("least").alias("a"), F.col("set").alias("b")).distinct()
-    sets = _sets_of(lists, with_set)
-    tried = checkpointed(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = _links(tried, sets)
-    labels = components(links)
-    # Lists whose members are in different components are tried again: with other leaders first, which joins most of a
-    # group of copies by pairs linear in its size, then with every pair across components that hasn't been tried.
-    for turn in range(1, LEADERS + 2):
-        member = lists.join(labels, lists["set"] == labels["node"], "left").select("list", "set", "size", F.coalesce("label", "set").alias("label"))
-        mixed = member.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("set", "size", "label"), F.xxhash64("set", F.lit(turn))).alias("leader")).where("lo <> hi")
-        if turn <= LEADERS:
-            other = member.join(mixed, "list").select("set", "size", "label", F.col("leader.set").alias("set2"), F.col("leader.size").alias("size2"), F.col("leader.label").alias("label2"))
-            across = other.where("label <> label2 AND " + _similar_sizes("size", "size2")).select(F.least("set", "set2").alias("a"), F.greatest("set", "set2").alias("b")).distinct()
-        else:
-            open_ = member.join(mixed.select("list"), "list")
-            across = open_.alias("x").join(open_.alias("y"), F.expr("x.list = y.list AND x.set < y.set AND x.label <> y.label AND " + _similar_sizes("x.size", "y.size"))).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
-        more = checkpointed(across.join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        found = _links(more, sets)
-        tried = tried.union(more)
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
-    least = signed.where("size > 0 AND id IS NOT NULL").groupBy("set").agg(F.min("id").alias("least"))
-    named = least.join(labels, least["set"] == labels["node"], "left").select("set", "least", F.coalesce("label", "set").alias("label"))
+    classes = signed.where("size > 0 AND id IS NOT NULL").groupBy("set").agg(F.first("size").alias("size"), F.count("*").alias("copies"), F.min("id").alias("least"))
+    links = class_links(texts, (keys[order], counts[order]), classes, parts, **limits)
+    labels = components(links.where("set <> root").select(F.col("set").alias("a"), F.col("root").alias("b")))
+    linked = links.groupBy("set").agg(F.sum("linked").alias("linked"))
+    named = classes.join(labels.withColumnRenamed("node", "set"), "set", "left").join(linked, "set", "left").select("set", "least", F.coalesce("label", "set").alias("label"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     best = named.groupBy("label").agg(F.min("least").alias("component"))
-    of_set = named.join(best, "label").select(F.col("set").alias("own"), "component")
+    of_set = named.join(best, "label").select(F.col("set").alias("own"), "component", "n_links")
     out = signed.join(of_set, (signed["set"] == of_set["own"]) & (signed["size"] > 0) & signed["id"].isNotNull(), "left")
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    alone = F.when(F.col("id").isNotNull(), 0)
+    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", alone).alias("n_links"))
 
 
-def plain_components(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
-    """id -> (n_shingles, component_id) by comparing all pairs; for tests."""
+def plain_components(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, int]]:
+    """id -> (n_shingles, component_id, n_links) by comparing all pairs; for tests."""
     pattern = re.compile(rb"[^\x20\x09-\x0D]+")
     sets = {}
     for doc, text in docs:
         w = pattern.findall(bytes(tx.LOWER[np.frombuffer((text or "").encode(), np.uint8)]))
         sets[doc] = {tuple(w[i : i + WORDS]) for i in range(max(1, len(w) - WORDS + 1))} if w else set()
-    root = {d: d for d in sets}
+    root, links = {d: d for d in sets}, dict.fromkeys(sets, 0)
 
     def find(d: int) -> int:
         while root[d] != d:
@@ -339,6 +424,8 @@ def plain_components(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int,
         for b in ids[i + 1 :]:
             x, y = sets[a], sets[b]
             if x and y and DENOMINATOR * len(x & y) >= NUMERATOR * len(x | y):
+                links[a] += 1
+                links[b] += 1
                 ra, rb = find(a), find(b)
                 root[max(ra, rb)] = min(ra, rb)
-    return {d: (len(sets[d]), find(d)) for d in ids}
+    return {d: (len(sets[d]), find(d), links[d]) for d in ids}

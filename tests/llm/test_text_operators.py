@@ -73,12 +73,21 @@ def noisy(n, words=12):
     return out
 
 
-def test_ngram_join(docs_of):
+@pytest.mark.parametrize("limits", [{}, {"very_long": 4, "block_rows": 3}])
+def test_ngram_join(docs_of, limits):
     texts = [*ODD, *noisy(60)]
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs_of(texts)).collect()}
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.jaccard_components(docs_of(texts), **limits).collect()}
     assert found == ngram_join.plain_components(list(enumerate(texts)))
 
 
+def test_ngram_join_repeated_and_null_ids(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text), (1, text), (1, "other words of the same id here"), (2, text), (None, text), (None, None), (3, None)]
+    found = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted(((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1, -1 if r["n_links"] is None else r["n_links"]) for r in found)) == [
+        (-1, 0, -1, -1), (-1, 3, -1, -1), (1, 3, 1, 0), (1, 3, 1, 2), (1, 3, 1, 2), (2, 3, 1, 2), (3, 0, 3, 0)]
+
+
 def test_suffix_dedup(docs_of):
     passages = ["".join(R.choice("abcdé ") for _ in range(n)) for n in (199, 200, 260, 420)]
     texts = [*ODD, *("".join(R.choice("xyz ") for _ in range(R.randint(0, 200))) + R.choice(passages) + str(i) for i in range(25)), "ab" * 300]
