@@ -9,8 +9,9 @@ by binary search, shortest first, until a candidate has T occurrences or can't r
 1. Equal sets collapse into one class each (their fingerprint); copies meet only in sums and minima.
 2. Every class sends a row for each of its short lists to the list's bucket. Which lists are short follows one order for
    all classes: shingles that are frequent in some partition last, by frequency, the rest by hash.
-3. The lists that have the same least member are a unit, and so are the members of each very long list. Lists with one
-   member are dropped here. Similar classes are together in some unit.
+3. A list is cut where its members' sizes, in order, are too far apart for any link across. Parts with one member are
+   dropped; those that have the same least member are a unit, and so is each very long list. Similar classes are
+   together in some unit.
 4. Each class's shingles are sent once to each of its units; a large unit is dealt in blocks, and each two blocks meet.
    There a T-occurrence search finds the links: every class asks the inverted lists of its unit. Two classes are
    compared in the least of their common units only.
@@ -57,7 +58,7 @@ BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 #: Candidates and lists that are probed at once.
 PROBED, STEP = 100_000, 8
 
-POSTING = np.dtype([("shingle", "u8"), ("set", "u8")])
+POSTING = np.dtype([("shingle", "u8"), ("set", "u8"), ("size", "u4")])
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +110,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = np.sort(np.concatenate([np.zeros(0, np.uint64), *parts]))
         begin = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
         n = np.diff(np.append(begin, len(values)))
-        often = np.flatnonzero(n >= 4)
+        often = np.flatnonzero(n > 1)
         often = often[np.argsort(-n[often], kind="stable")[:LOCAL_FREQUENT]]
         return pa.RecordBatch.from_arrays([pa.array(n[often].astype(np.int64)), pa.nulls(len(often), pa.int64()), pa.array(values[begin[often]].view(np.int64))], ["id", "size", "set"])
 
@@ -163,7 +164,7 @@ def _short_lists(shared, buckets: int, very_long: int):
                 place = np.arange(len(doc)) - np.repeat(np.cumsum(own_sizes) - own_sizes, own_sizes)
                 short = place <= (sizes - need(sizes))[doc]
                 rows = np.zeros(int(short.sum()), POSTING)
-                rows["shingle"], rows["set"] = shingle[short], prints[doc[short]]
+                rows["shingle"], rows["set"], rows["size"] = shingle[short], prints[doc[short]], sizes[doc[short]]
                 held.append(rows)
                 long.append(count[short] >= very_long)
                 size += len(buf)
@@ -190,15 +191,16 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows = np.concatenate([np.zeros(0, POSTING), *held])
-        rows = rows[np.lexsort((rows["set"], rows["shingle"]))]
+        rows = rows[np.lexsort((rows["set"], rows["size"], rows["shingle"]))]
         if not len(rows):
             return
         same = rows["shingle"][1:] == rows["shingle"][:-1]
         rows = rows[np.concatenate([[True], ~(same & (rows["set"][1:] == rows["set"][:-1]))])]
-        begin = np.flatnonzero(np.concatenate([[True], rows["shingle"][1:] != rows["shingle"][:-1]]))
+        far = rows["size"][:-1].astype(np.int64) * DENOMINATOR < rows["size"][1:].astype(np.int64) * NUMERATOR
+        begin = np.flatnonzero(np.concatenate([[True], (rows["shingle"][1:] != rows["shingle"][:-1]) | far]))
         n = np.diff(np.append(begin, len(rows)))
         several = np.repeat(n > 1, n)
-        yield from pairs_of(rows["set"][several], np.repeat(rows["set"][begin], n)[several])
+        yield from pairs_of(rows["set"][several], np.repeat(np.minimum.reduceat(rows["set"], begin), n)[several])
 
     held, at = [], None
     for batch in batches:
