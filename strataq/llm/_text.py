@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.types import StructField, StructType
 
 SLICE_BYTES = 1 << 20
 U64 = np.uint64
@@ -89,6 +90,11 @@ def trim() -> None:
         _LIBC.malloc_trim(0)
 
 
+def schema(own: str, *kept: StructField) -> StructType:
+    """The columns that own spells, then those that are kept, whatever their names and types are."""
+    return StructType([*StructType.fromDDL(own).fields, *kept])
+
+
 def byte_table(ranges: list[tuple[int, int]]) -> np.ndarray:
     table = np.zeros(256, bool)
     for low, high in ranges:

@@ -25,6 +25,8 @@ from ._bytebpe import Transducer, load_tiktoken, tiktoken_classifier
 from ._pieces import Splitter, unique_pieces
 
 CACHE = 120_000
+#: Pieces whose ids the decoder gets at once.
+STEP = 1024
 
 
 class StreamDecoder:
@@ -149,19 +151,19 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             buf, offsets = tx.buffer_of(tx.as_strings(batch.column(1)))
             for a, b in tx.slices(offsets):
                 counts, ids_hash, text_hash = [], [], []
-                names = plain = sizes = kept = None
+                names = sizes = kept = None
                 for found, mine in own.documents(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
                     if found is not kept:
                         kept = found
                         names = [",".join(map(str, ids)) for ids in found]
-                        plain = [b"".join(map(own.model.bytes.__getitem__, ids)) for ids in found]
                         sizes = np.array([len(ids) for ids in found], np.int64)
                     mine_list = mine.tolist()
                     counts.append(int(sizes[mine].sum()) if mine_list else 0)
                     ids_hash.append(hashlib.sha256(",".join([names[i] for i in mine_list]).encode()).hexdigest())
                     stream, digest = StreamDecoder(own.model.bytes), hashlib.sha256()
-                    stream.held = b"".join([plain[i] for i in mine_list])  # whole pieces: the state machine only looks at the end
-                    digest.update((stream.feed(()) + stream.finish()).encode())
+                    for i in range(0, len(mine_list), STEP):
+                        digest.update(stream.feed(t for piece in mine_list[i : i + STEP] for t in found[piece]).encode())
+                    digest.update(stream.finish().encode())
                     text_hash.append(digest.hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strataq.session import checkpointed, ship_package
 
@@ -173,8 +174,8 @@ def _pass(state: DataFrame, shared, last: bool) -> DataFrame:
             names = ["__id", *([] if last else ["__text"]), "__n", "__spans", "__items", *batch.schema.names[5:]]
             yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(hit, pa.int64())] if last else [])], [*names, *(["__hit"] if last else [])])
 
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in state.schema.fields[5:])
-    return state.mapInArrow(run, "__id long" + ("" if last else ", __text string") + ", __n long, __spans array<int>, __items array<string>" + more + (", __hit long" if last else ""))
+    own = "__id long" + ("" if last else ", __text string") + ", __n long, __spans array<int>, __items array<string>"
+    return state.mapInArrow(run, tx.schema(own, *state.schema.fields[5:], *(StructType.fromDDL("__hit long") if last else ())))
 
 
 def items_digest(items: str = "items"):

@@ -5,6 +5,8 @@ GRAM-byte anchor that its own bytes determine: the GRAM with the least hash. So
 starts that share an anchor, and equal strings can only meet under one anchor:
 
 1. Each partition finds its segments; equal ones within the partition are all repeated and one stands for them.
+   An anchor that very many different segments share (those at a common passage's ends) would bring them all to one
+   task: there each string is a segment and an anchor of its own. Such anchors are found beforehand, by counts.
 2. Segments meet by anchor. Equal segments are repeated as a whole and need no text. Only where an anchor has
    segments that differ, one of each kind goes on.
 3. Their bytes are fetched, and a suffix array of them is made by two-stage sorting (_suffix.py). Starts whose common
@@ -41,12 +43,19 @@ FLUSH_BYTES = 48 << 20
 #: Bytes of segments in one suffix array (more only if a single anchor has more).
 ARRAY_BYTES = 8 << 20
 BITS = 1 << 23
+#: Different segments of an anchor, in a partition's part and in all such parts, from which its strings go apart.
+LOCAL_COMMON, COMMON = 4, 256
+#: Anchors of a partition's part that are counted, and anchors that all partitions know (8 bytes each).
+LOCAL_ANCHORS, ANCHORS = 10_000, 200_000
 
 SEGMENT = np.dtype([("anchor", "u8"), ("hash", "u8"), ("key", "i8"), ("start", "i4"), ("count", "u1"), ("many", "u1")])
 
 
-def segments(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, segment hash, document, first start in the document, number of starts) of a slice's segments."""
+def segments(buf: np.ndarray, offsets: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, segment hash, document, first start in the document, number of starts) of a slice's segments.
+
+    Starts under a common anchor (sorted hashes) are segments and anchors of their own.
+    """
     n, width = len(buf), SPAN - GRAM + 1
     none = np.zeros(0, np.int64)
     if n < SPAN:
@@ -77,7 +86,38 @@ def segments(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     running = np.concatenate([[0], np.cumsum(whole)])
     count = np.diff(np.concatenate([running[begin], [running[-1]]]))
-    return grams[where[begin]], tx.span_hash(prefix, begin, begin + count - 1 + SPAN), doc[begin], begin - offsets[doc[begin]], count
+    anchor = grams[where[begin]]
+    if common is not None and len(common):
+        apart = common[np.minimum(np.searchsorted(common, anchor), len(common) - 1)] == anchor
+        n_of = np.where(apart, count, 1)
+        begin = np.repeat(begin, n_of) + np.arange(int(n_of.sum())) - np.repeat(np.cumsum(n_of) - n_of, n_of)
+        single = np.repeat(apart, n_of)
+        anchor, count = np.repeat(anchor, n_of), np.where(single, 1, np.repeat(count, n_of))
+        anchor[single] = tx.span_hash(prefix, begin[single], begin[single] + SPAN)
+    return anchor, tx.span_hash(prefix, begin, begin + count - 1 + SPAN), doc[begin], begin - offsets[doc[begin]], count
+
+
+def _common_anchors(batches: Iterator[pa.RecordBatch], local: int) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, n): anchors with several different segments in this partition."""
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.uint64), *held]), axis=0)
+        anchor, n = np.unique(pairs[:, 0], return_counts=True)
+        often = np.flatnonzero(n >= local)
+        often = often[np.argsort(-n[often], kind="stable")[:LOCAL_ANCHORS]]
+        return pa.RecordBatch.from_arrays([pa.array(anchor[often].view(np.int64)), pa.array(n[often])], ["anchor", "n"])
+
+    for batch in batches:
+        buf, offsets = tx.buffer_of(tx.as_strings(batch.column(0)))
+        for a, b in tx.slices(offsets):
+            anchor, own, *_ = segments(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            held.append(np.stack([anchor, own], axis=1))
+            size += int(offsets[b] - offsets[a])
+            if size >= FLUSH_BYTES:
+                yield flush()
+                held, size = [], 0
+    yield flush()
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
@@ -85,13 +125,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> Data
     return docs.select(F.xxhash64(F.col(id_col), text).alias("__key"), F.col(id_col).cast("long").alias("__id"), text.alias("__text"), *[F.col(c) for c in keep])
 
 
-def _find_segments(buckets: int):
+def _find_segments(buckets: int, common):
     """Stage 1: rows (bucket, kind, data): kind 0 are segments by anchor, kind 1 spans that are known to be repeated."""
 
     def flush(held: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
-        if not held:
+        rows = np.concatenate([np.zeros(0, SEGMENT), *held])
+        if not len(rows):
             return
-        rows = np.concatenate(held)
         rows = rows[np.argsort(rows["hash"], kind="stable")]
         edge = np.concatenate([[True], rows["hash"][1:] != rows["hash"][:-1]])
         begin = np.flatnonzero(edge)
@@ -113,7 +153,7 @@ def _find_segments(buckets: int):
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             buf, offsets = tx.buffer_of(tx.as_strings(batch.column(1)))
             for a, b in tx.slices(offsets):
-                anchor, own, doc, start, count = segments(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                anchor, own, doc, start, count = segments(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], common.value)
                 rows = np.zeros(len(anchor), SEGMENT)
                 rows["anchor"], rows["hash"], rows["key"], rows["start"], rows["count"] = anchor, own, keys[a:b][doc], start, count
                 held.append(rows)
@@ -234,14 +274,28 @@ def _sort_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield from flush(held)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _known_anchors(texts: DataFrame, least: int) -> np.ndarray:
+    """Sorted hashes of anchors with at least that many segments, of at most ANCHORS: the bound rises where there are more."""
+    counts = checkpointed(texts.select("__text").mapInArrow(lambda batches: _common_anchors(batches, min(LOCAL_COMMON, least)), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    size = F.floor(F.log2("n") * 8).alias("size")
+    total = 0
+    for row in counts.groupBy(size).count().orderBy(F.desc("size")).collect():  # some hundred rows
+        total += row["count"]
+        if total > ANCHORS:
+            counts = counts.where(size > row["size"])
+            break
+    return np.sort(counts.select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(np.uint64))
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
     """(key, start, count): runs of starts of repeated SPAN-byte strings, by key of the text."""
     spark = docs.sparkSession
     ship_package(spark)
     keyed = _keyed(docs, id_col, text_col, [])
     texts = keyed.select("__key", "__text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    met = checkpointed(texts.mapInArrow(_find_segments(8 * parts), "bucket int, kind int, data binary").repartition(parts, "bucket").mapInArrow(_meet, FOUND))
+    apart = spark.sparkContext.broadcast(_known_anchors(texts, common))
+    met = checkpointed(texts.mapInArrow(_find_segments(8 * parts, apart), "bucket int, kind int, data binary").repartition(parts, "bucket").mapInArrow(_meet, FOUND))
     wanted = met.where("anchor IS NOT NULL")
     bits = wanted.select(F.pmod(F.xxhash64("key"), F.lit(BITS)).alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("bits")).toPandas()
     bitmap = np.zeros(BITS // 64, np.int64)
@@ -261,13 +315,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return met.where("anchor IS NULL").select("key", "start", "count").unionByName(sorted_.select("key", "start", "count"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, common: int = COMMON) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of every text without its repeated bytes.
 
     kept_text leaves out the characters of which some bytes are repeated. With keep, those columns follow.
     """
     keep = keep or []
-    spans = repeated_spans(docs, id_col, text_col)
+    spans = repeated_spans(docs, id_col, text_col, common)
     by_text = spans.groupBy("key").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
     keyed = _keyed(docs, id_col, text_col, keep)
     joined = keyed.join(by_text, keyed["__key"] == by_text["key"], "left").select("__id", "__text", "spans", *keep)
@@ -294,8 +348,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
                 texts.append("".join(raw[a:b].decode("utf-8", "ignore") for a, b in zip(edges[::2], edges[1::2], strict=True)) if merged else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string()), *batch.columns[3:]], ["__id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *batch.schema.names[3:]])
 
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[3:])
-    out = joined.mapInArrow(remove, "__id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string" + more)
+    out = joined.mapInArrow(remove, tx.schema("__id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string", *joined.schema.fields[3:]))
     return out.drop("__id") if id_col in keep else out.withColumnRenamed("__id", id_col)
 
 

@@ -2,19 +2,23 @@
 
 Features are hashed words and their beginnings of 4, 5 and 6 bytes (so that inflected and compound forms share
 weight), each present or absent. Of all hashed features, those that tell the classes apart best on the labelled texts
-are kept. For each labelled text that names a group of people, the same text is made with the group's term swapped for
-another group's; the loss has, beside the labels' cross entropy, a penalty on the squared change of the score under
-the swap, so that naming a group alone carries no weight.
+are kept, and those of the terms that name groups of people. Counterfactuals come from labelled texts: where one names
+a group, the same text with the term swapped for another group's; where none does, the text as it is, the text with a
+term put in, and that with the term swapped. The loss has, beside the labels' cross entropy, a penalty on the squared
+change of the score (before the sigmoid, which would hide it) between each two of these, so that naming a group alone
+carries no weight.
 
 Null or empty texts get the score of a text without features. Repeated rows are scored each for itself; of a document
 with several labels the highest counts; rows with null labels take no part. Without labels of both classes every score
 is the labels' mean (0 without any). Extra columns are dropped; empty tables give empty results. The classifier is
-fitted on at most FIT_ROWS texts of each class (by the hash of their id), which bounds what reaches the driver;
-scoring reads every whole text and shuffles nothing.
+fitted on at most FIT_ROWS texts of each class (by the hash of their id), which bounds what reaches the driver, with
+counterfactuals of SWAP_ROWS of each class; scoring reads every whole text and shuffles nothing.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +36,7 @@ FEATURES = 4096
 #: Rows of a class that must have a feature.
 SUPPORT = 3
 SWAP_WEIGHT = 2.0
+SWAP_ROWS = 1000
 L2 = 1e-5
 STEPS = 800
 #: Terms that name groups of people, by group kind; a term is swapped for the next one of its kind.
@@ -68,15 +73,29 @@ def distinct(doc: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def swapped(text: str, terms=IDENTITY_TERMS) -> str | None:
     """The text with each group's term swapped for the next of its kind; None if it names none."""
+    if not terms:
+        return None
     following = {t: group[(i + 1) % len(group)] for group in terms for i, t in enumerate(group)}
-    words = text.split(" ")
-    out = [following.get(w.lower().strip(".,;:!?\"'()"), None) for w in words]
-    return " ".join(new or old for new, old in zip(out, words, strict=True)) if any(out) else None
+
+    def other(found: re.Match) -> str:
+        new = following[found[0].lower()]
+        return new.upper() if found[0].isupper() else new.capitalize() if found[0][0].isupper() else new
+
+    out, n = re.subn(r"(?i)\b(?:" + "|".join(sorted(map(re.escape, following), key=len, reverse=True)) + r")\b", other, text)
+    return out if n else None
+
+
+def term_slots(terms=IDENTITY_TERMS) -> dict[str, np.ndarray]:
+    """The features of each term."""
+    words = [t for group in terms for t in group]
+    buf, offsets = tx.buffer_of(tx.as_strings(pa.array(words, pa.string())))
+    doc, slot = distinct(*features(buf, offsets))
+    return {w: slot[doc == i] for i, w in enumerate(words)}
 
 
 class Classifier:
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: np.ndarray, bias: float, pairs: int = 0):
+        self.weights, self.bias, self.pairs = weights, bias, pairs
 
     def score(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         doc, slot = features(buf, offsets)
@@ -104,11 +123,9 @@ def _train(rows: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, p
         error = importance * (p - labels) / importance.sum()
         grad = np.append(np.bincount(col, weights=error[row], minlength=n) + L2 * w, error.sum())
         if pairs:
-            pa_, pb = sigmoid(bias + np.bincount(a_row, weights=w[a_col], minlength=len(pairs))), sigmoid(bias + np.bincount(b_row, weights=w[b_col], minlength=len(pairs)))
-            change = 2 * SWAP_WEIGHT * (pa_ - pb) / len(pairs)
-            up, down = change * pa_ * (1 - pa_), change * pb * (1 - pb)
-            grad[:n] += np.bincount(a_col, weights=up[a_row], minlength=n) - np.bincount(b_col, weights=down[b_row], minlength=n)
-            grad[n] += (up - down).sum()
+            apart = np.bincount(a_row, weights=w[a_col], minlength=len(pairs)) - np.bincount(b_row, weights=w[b_col], minlength=len(pairs))
+            change = 2 * SWAP_WEIGHT * apart / len(pairs)
+            grad[:n] += np.bincount(a_col, weights=change[a_row], minlength=n) - np.bincount(b_col, weights=change[b_row], minlength=n)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:n], bias - move[n]
@@ -148,7 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     z = F.abs(ratio) / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
     seen = sample.mapInArrow(count, "slot long, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     best = seen.where(F.greatest("n0", "n1") >= SUPPORT).withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "slot").limit(FEATURES)
-    chosen_slots = np.array(sorted(r["slot"] for r in best.select("slot").collect()), np.int64)
+    of_term = term_slots(terms)
+    chosen_slots = np.unique(np.concatenate([np.array([r["slot"] for r in best.select("slot").collect()], np.int64), *of_term.values()]))
     place = np.full(SLOTS, -1, np.int32)
     place[chosen_slots] = np.arange(len(chosen_slots))
     shared = spark.sparkContext.broadcast(place)
@@ -177,11 +195,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = sample.mapInArrow(rows_of, "y int, x array<int>, twin array<int>").collect()
     y = np.array([r["y"] for r in found], float)
     rows = [np.array(r["x"], np.int64) for r in found]
-    pairs = [(np.array(r["x"], np.int64), np.array(r["twin"], np.int64)) for r in found if r["twin"] is not None]
+    twins = [None if r["twin"] is None else np.array(r["twin"], np.int64) for r in found]
+    pairs = _counterfactuals(rows, y, twins, {t: place[s] for t, s in of_term.items()}, terms)
     w, bias = _train(rows, y, np.where(y == 1, 1 / share[1], 1 / share[0]), pairs, len(chosen_slots))
     weights = np.zeros(SLOTS, np.float32)
     weights[chosen_slots] = w
-    return Classifier(weights, bias)
+    return Classifier(weights, bias, len(pairs))
+
+
+def _counterfactuals(rows: list[np.ndarray], y: np.ndarray, twins: list, of_term: dict[str, np.ndarray], terms) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of feature lists whose scores should be equal, from SWAP_ROWS texts of each class in the order of a hash."""
+    lot = np.array([zlib.crc32(x.tobytes()) for x in rows])
+    order = np.argsort(lot, kind="stable")
+    own = [i for k in (0, 1) for i in order[y[order] == k][:SWAP_ROWS].tolist()] if terms else []
+    turns = [(group, k) for group in terms for k in range(len(group))]
+    pairs = []
+    for at, i in enumerate(own):
+        x = rows[i]
+        if twins[i] is not None:
+            pairs.append((x, twins[i]))
+            continue
+        group, k = turns[at % len(turns)]
+        one, other = (np.union1d(x, of_term[group[j % len(group)]]) for j in (k, k + 1))
+        pairs += [(one, other), (x, one)]
+    return pairs
 
 
 def score(docs: DataFrame, classifier: Classifier, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -198,6 +235,5 @@ def score(docs: DataFrame, classifier: Classifier, threshold: float = 0.7, id_co
 
     extra = [F.col(c) for c in keep or ()]
     kept = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *extra)
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[2:])
-    out = kept.mapInArrow(lambda it: (pa.RecordBatch.from_arrays(b.columns, ["id", "score", "predicted", *b.schema.names[3:]]) for b in run(it)), "__id long, score double, predicted int" + more)
+    out = kept.mapInArrow(lambda it: (pa.RecordBatch.from_arrays(b.columns, ["id", "score", "predicted", *b.schema.names[3:]]) for b in run(it)), tx.schema("__id long, score double, predicted int", *kept.schema.fields[2:]))
     return out.withColumnRenamed("__id", "id" if keep else id_col)

@@ -88,13 +88,26 @@ def test_ngram_join_repeated_and_null_ids(spark):
         (-1, 0, -1, -1), (-1, 3, -1, -1), (1, 3, 1, 0), (1, 3, 1, 2), (1, 3, 1, 2), (2, 3, 1, 2), (3, 0, 3, 0)]
 
 
-def test_suffix_dedup(docs_of):
+@pytest.mark.parametrize("common", [suffix_dedup.COMMON, 2])
+def test_suffix_dedup(docs_of, common):
     passages = ["".join(R.choice("abcdé ") for _ in range(n)) for n in (199, 200, 260, 420)]
     texts = [*ODD, *("".join(R.choice("xyz ") for _ in range(R.randint(0, 200))) + R.choice(passages) + str(i) for i in range(25)), "ab" * 300]
-    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(docs_of(texts)).collect()}
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(docs_of(texts), common=common).collect()}
     assert [found[i] for i in range(len(texts))] == suffix_dedup.plain_dedup(texts)
 
 
+def test_suffix_dedup_partition_of_short_texts(spark):
+    """One partition has short texts only, one a text longer than a slice that repeats itself across slices."""
+    R.seed(3)
+    long = "".join(R.choice("abcdefg ") for _ in range(1 << 19))
+    texts = ["short", "", None, long + "x" + long[: 1 << 18] + long, long[100:900], "s" * 199]
+    df = spark.createDataFrame([(i, t, i in (3, 4)) for i, t in enumerate(texts)], "doc_id long, text string, far boolean").repartitionByRange(2, "far")
+    found = {r["doc_id"]: r for r in suffix_dedup.dedup(df).collect()}
+    assert [(found[i]["n_removed"], found[i]["n_spans"]) for i in (0, 1, 2, 5)] == [(0, 0)] * 4
+    assert found[3]["n_removed"] == len(texts[3]) - 1 and found[4]["n_removed"] == 800
+    assert found[3]["kept_sha256"] == hashlib.sha256(b"x").hexdigest()
+
+
 @pytest.mark.parametrize("block", [1 << 20, 40])
 def test_decontamination(spark, docs_of, block):
     items = [("1", "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"), ("2", "c"), ("10", None), ("11", "same text, here")]
