@@ -14,7 +14,8 @@ Tables are partitioned by the hash of the history (or word):
    those of its vocabulary.
 4. Chunks and answers meet by chunk, and texts are scored.
 
-A frequent word or bigram is one entry for each chunk, however often it occurs. Nothing but counts of counts reaches the
+A frequent word or bigram is one entry for each chunk, however often it occurs. Entries travel packed, one row for each
+chunk and bucket that have any, so rows are at most the entries, which are at most the tokens. Nothing but counts of counts reaches the
 driver. Words are known by 64-bit hashes. Null or empty texts are one end token. Repeated rows are counted and scored
 each for itself; extra columns are dropped; an empty table gives an empty result. Without training texts every
 probability is that of the unknown word.
@@ -114,6 +115,14 @@ class Chunk:
         self.left, self.right = self.pairs // n, self.pairs % n
         self.pair_bucket = self.bucket[self.left]
         self.training = np.repeat(self.train, self.sizes) == 1
+        self.words_of, self.pairs_of = self._by(self.bucket), self._by(self.pair_bucket)
+
+    @staticmethod
+    def _by(bucket: np.ndarray) -> dict[int, np.ndarray]:
+        """The places of each bucket that has any, in order."""
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(order) else order
+        return dict(zip(bucket[order[cuts]].tolist(), np.split(order, cuts[1:]), strict=False)) if len(order) else {}
 
     def word_counts(self) -> np.ndarray:
         """Training counts; that of the start is the number of training texts."""
@@ -133,9 +142,8 @@ def _ask(buckets: int):
             for number, data in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
                 chunk = Chunk(data.as_py(), buckets)
                 words, pairs = chunk.word_counts().astype(np.uint32), chunk.pair_counts().astype(np.uint32)
-                for b in range(buckets):
-                    own = np.flatnonzero(chunk.bucket == b)
-                    both = np.flatnonzero(chunk.pair_bucket == b)
+                for b, own in chunk.words_of.items():
+                    both = chunk.pairs_of.get(b, np.zeros(0, np.int64))
                     left, n = np.unique(chunk.left[both], return_counts=True)
                     yield _batch([
                         ("u", number, b, _pack(chunk.vocabulary[own], words[own])),
@@ -190,8 +198,7 @@ def _count(buckets: int):
             h, w, often = left[first], right[first], r[r > 0].astype(np.uint32)
             target = (w % np.uint64(buckets)).astype(np.int64)
             out = [("S", 0, bucket, _pack(sums)), ("W", 0, bucket, _pack(words, total))]
-            for b in np.unique(target).tolist():
-                own = target == b
+            for b, own in Chunk._by(target).items():
                 histories, n = np.unique(h[own], return_counts=True)  # h is sorted
                 out.append(("G", 0, b, _pack(histories, n.astype(np.uint32), total[np.searchsorted(words, histories)], w[own], often[own])))
             yield _batch(out)
@@ -242,7 +249,7 @@ def _mass(shared, buckets: int):
             histories, first, back = np.unique(h, return_index=True, return_inverse=True)
             mass, shares = np.bincount(back, weights=model.discounted(r)), np.bincount(back, weights=share)
             target = (histories % np.uint64(buckets)).astype(np.int64)
-            yield _batch([("M", 0, b, _pack(histories[target == b], mass[target == b], shares[target == b], count[first][target == b])) for b in np.unique(target).tolist()])
+            yield _batch([("M", 0, b, _pack(histories[own], mass[own], shares[own], count[first][own])) for b, own in Chunk._by(target).items()])
 
     return run
 
@@ -278,12 +285,12 @@ def _score(shared, buckets: int):
         r = np.zeros(len(chunk.pairs), np.int64)
         for kind, bucket, data in rows:
             if kind == "U":
-                count[chunk.bucket == bucket] = _unpack(data)[0]
+                count[chunk.words_of[bucket]] = _unpack(data)[0]
             elif kind == "A":
-                own = chunk.bucket == bucket
+                own = chunk.words_of[bucket]
                 scale[own], weight[own] = _unpack(data)
-            elif kind == "B":
-                r[chunk.pair_bucket == bucket] = _unpack(data)[0]
+            elif kind == "B" and bucket in chunk.pairs_of:
+                r[chunk.pairs_of[bucket]] = _unpack(data)[0]
         share = model.unigram(count)
         seen = scale[chunk.left] * model.discounted(r) / np.maximum(count[chunk.left], 1)
         p = np.where(r > 0, seen, weight[chunk.left] * share[chunk.right])
