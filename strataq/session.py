@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -66,27 +67,28 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "strataq-checkpoints")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, by: str | None = None) -> DataFrame:
     """The rows as a table in the shared folder: cuts lineage and survives lost executors.
 
-    What the write has shuffled goes when it ends, as its rows are in the table.
+    What the write has shuffled goes when it ends, as its rows are in the table. With by, each value of that column has a
+    folder of its own.
     """
     session = df.sparkSession
     path = f"{shared_dir(session).rstrip('/')}/strataq-{uuid.uuid4().hex}"
     before = session.conf.get(DROP_SHUFFLES, "false")
     session.conf.set(DROP_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         session.conf.set(DROP_SHUFFLES, before)
-    return session.read.schema(df.schema).parquet(path)
+    return session.read.schema(df.schema).parquet(path).select(df.columns)
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a table that checkpointed() wrote, once later tables have replaced it."""
+def forget(df: DataFrame, *parts: str) -> None:
+    """Deletes a table that checkpointed() wrote, or parts of it (as kind=x), once later tables have replaced it."""
     session = df.sparkSession
     jvm = session.sparkContext._jvm
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if path.getName().startswith("strataq-"):
-            path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    roots = {found[0] for name in df.inputFiles() if (found := re.match(r".*/strataq-[0-9a-f]{32}(?=/)", name))}
+    for folder in [f"{root}/{part}" for root in roots for part in parts or ("",)]:
+        path = jvm.org.apache.hadoop.fs.Path(folder.rstrip("/"))
+        path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
