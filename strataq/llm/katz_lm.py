@@ -16,7 +16,7 @@ Tables are partitioned by the hash of the history (or word):
 
 A frequent word or bigram is one entry for each chunk, however often it occurs. Entries travel packed, one row for each
 chunk and bucket that have any, so rows are at most the entries, which are at most the tokens. Nothing but counts of counts reaches the
-driver. Words are known by 64-bit hashes. Null or empty texts are one end token. Repeated rows are counted and scored
+driver. Words are known by 64-bit hashes, the second of a bigram by 48 bits. Null or empty texts are one end token. Repeated rows are counted and scored
 each for itself; extra columns are dropped; an empty table gives an empty result. Without training texts every
 probability is that of the unknown word.
 """
@@ -35,11 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.session import checkpointed, ship_package
+from strataq.session import checkpointed, forget, ship_package
 
 from . import _text as tx
 
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 16 << 20
+#: A word in a bigram and a word's bucket are known by these bits.
+UPPER = np.uint64(0xFFFFFFFFFFFF0000)
 #: Counts over this aren't discounted.
 TRUSTED = 5
 END = np.uint64(tx.string_hash(b" end"))
@@ -98,6 +100,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
+    return (words >> np.uint64(16)).astype(np.int64) % buckets
+
+
 class Chunk:
     """A chunk, with its distinct bigrams (places of history and word) in the order in which they are sent."""
 
@@ -105,7 +111,7 @@ class Chunk:
         self.vocabulary, place, self.sizes, self.ids, self.known, self.train = _unpack(data)
         self.place = place.astype(np.int64)
         n = len(self.vocabulary)
-        self.bucket = (self.vocabulary % np.uint64(buckets)).astype(np.int64)
+        self.bucket = bucket_of(self.vocabulary, buckets)
         self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
         history = np.empty_like(self.place)
         history[1:] = self.place[:-1]
@@ -147,7 +153,7 @@ def _ask(buckets: int):
                     left, n = np.unique(chunk.left[both], return_counts=True)
                     yield _batch([
                         ("u", number, b, _pack(chunk.vocabulary[own], words[own])),
-                        ("b", number, b, _pack(chunk.vocabulary[left], n.astype(np.uint32), chunk.vocabulary[chunk.right[both]], pairs[both])),
+                        ("b", number, b, _pack(chunk.vocabulary[left], n.astype(np.uint32), chunk.vocabulary[chunk.right[both]] & UPPER, pairs[both])),
                     ])
 
     return run
@@ -196,7 +202,7 @@ def _count(buckets: int):
             sums = np.array([total[real].sum(), int((total[real] > 0).sum()), *(int((r == i).sum()) for i in range(1, TRUSTED + 2))], np.int64)
             first = order[edge][r > 0] if len(order) else order
             h, w, often = left[first], right[first], r[r > 0].astype(np.uint32)
-            target = (w % np.uint64(buckets)).astype(np.int64)
+            target = bucket_of(w, buckets)
             out = [("S", 0, bucket, _pack(sums)), ("W", 0, bucket, _pack(words, total))]
             for b, own in Chunk._by(target).items():
                 histories, n = np.unique(h[own], return_counts=True)  # h is sorted
@@ -245,10 +251,10 @@ def _mass(shared, buckets: int):
             if not bigrams:
                 continue
             h, w, r, count = (np.concatenate([a[i] for a in bigrams]) for i in range(4))
-            share = model.unigram(total[np.searchsorted(words, w)])
+            share = model.unigram(total[np.searchsorted(words & UPPER, w)])
             histories, first, back = np.unique(h, return_index=True, return_inverse=True)
             mass, shares = np.bincount(back, weights=model.discounted(r)), np.bincount(back, weights=share)
-            target = (histories % np.uint64(buckets)).astype(np.int64)
+            target = bucket_of(histories, buckets)
             yield _batch([("M", 0, b, _pack(histories[own], mass[own], shares[own], count[first][own])) for b, own in Chunk._by(target).items()])
 
     return run
@@ -322,14 +328,14 @@ def score(docs: DataFrame, training: str, id_col: str = "doc_id", text_col: str
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.expr(training), F.lit(False)).alias("training"))
     chunks = checkpointed(rows.mapInArrow(_chunks, ROW))
-    # No name for what is asked: its shuffle files, the largest there are, go once the answers are written.
-    counted = checkpointed(chunks.mapInArrow(_ask(parts), ROW).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind", "chunk").mapInArrow(_count(parts), ROW))
+    counted = checkpointed(chunks.mapInArrow(_ask(parts), ROW).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind", "chunk").mapInArrow(_count(parts), ROW), by="kind")
     sums = np.zeros(TRUSTED + 3, np.int64)
     for row in counted.where("kind = 'S'").select("data").toLocalIterator():
         sums += _unpack(bytes(row["data"]))[0]
     model = spark.sparkContext.broadcast(Model(int(sums[0]), int(sums[1]), sums[2:].tolist()))
     mass = counted.where("kind IN ('G', 'W')").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_mass(model, parts), ROW)
-    weights = mass.union(counted.where("kind = 'v'")).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_weigh, ROW)
+    weights = checkpointed(mass.union(counted.where("kind = 'v'")).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_weigh, ROW))
+    forget(counted, "kind=G", "kind=W", "kind=v", "kind=S")
     answers = chunks.union(counted.where("kind IN ('U', 'B')")).union(weights)
     found = answers.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_score(model, parts), SCORES)
     return found.withColumnRenamed("id", id_col)
