@@ -86,6 +86,7 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 def trim() -> None:
     """Gives freed memory back to the system: workers live longer than their tasks."""
+    pa.default_memory_pool().release_unused()
     if _LIBC is not None:
         _LIBC.malloc_trim(0)
 

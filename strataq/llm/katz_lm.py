@@ -78,10 +78,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         tokens = np.concatenate([h[0] for h in held])
-        vocabulary, place = np.unique(np.append(tokens, START), return_inverse=True)
+        vocabulary, place, n = np.unique(np.append(tokens, START), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")  # small places for frequent words pack best
+        rank = np.empty(len(n), np.uint32)
+        rank[order] = np.arange(len(n), dtype=np.uint32)
+        vocabulary, place = vocabulary[order], rank[place]
         ids = np.concatenate([h[2] for h in held])
         known = np.concatenate([h[3] for h in held])
-        return _batch([("C", TaskContext.get().partitionId() << 24 | number, 0, _pack(vocabulary, place[:-1].astype(np.uint32), np.concatenate([h[1] for h in held]), ids, known, np.concatenate([h[4] for h in held])))])
+        return _batch([("C", TaskContext.get().partitionId() << 24 | number, 0, _pack(vocabulary, place[:-1], np.concatenate([h[1] for h in held]), ids, known, np.concatenate([h[4] for h in held])))])
 
     for batch in batches:
         ids = batch.column(0)
@@ -98,6 +102,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size, number = [], 0, number + 1
     if held:
         yield flush()
+    held.clear()
+    tx.trim()
 
 
 def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -108,17 +114,17 @@ class Chunk:
     """A chunk, with its distinct bigrams (places of history and word) in the order in which they are sent."""
 
     def __init__(self, data: bytes, buckets: int):
-        self.vocabulary, place, self.sizes, self.ids, self.known, self.train = _unpack(data)
-        self.place = place.astype(np.int64)
+        self.vocabulary, self.place, self.sizes, self.ids, self.known, self.train = _unpack(data)
         n = len(self.vocabulary)
+        self.start = int(np.flatnonzero(self.vocabulary == START)[0])
         self.bucket = bucket_of(self.vocabulary, buckets)
         self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
         history = np.empty_like(self.place)
         history[1:] = self.place[:-1]
-        history[self.begin[:-1]] = np.searchsorted(self.vocabulary, START)
-        self.history = history
-        self.pairs, self.pair_of = np.unique(history * n + self.place, return_inverse=True)
-        self.left, self.right = self.pairs // n, self.pairs % n
+        history[self.begin[:-1]] = self.start
+        pairs, pair_of = np.unique(history.astype(np.int64) * n + self.place, return_inverse=True)
+        self.left, self.right, self.pair_of = (pairs // n).astype(np.uint32), (pairs % n).astype(np.uint32), pair_of.astype(np.uint32)
+        del pairs, pair_of, history
         self.pair_bucket = self.bucket[self.left]
         self.training = np.repeat(self.train, self.sizes) == 1
         self.words_of, self.pairs_of = self._by(self.bucket), self._by(self.pair_bucket)
@@ -133,11 +139,11 @@ class Chunk:
     def word_counts(self) -> np.ndarray:
         """Training counts; that of the start is the number of training texts."""
         out = np.bincount(self.place[self.training], minlength=len(self.vocabulary))
-        out[np.searchsorted(self.vocabulary, START)] = int(self.train.sum())
+        out[self.start] = int(self.train.sum())
         return out
 
     def pair_counts(self) -> np.ndarray:
-        return np.bincount(self.pair_of[self.training], minlength=len(self.pairs))
+        return np.bincount(self.pair_of[self.training], minlength=len(self.left))
 
 
 def _ask(buckets: int):
@@ -149,12 +155,15 @@ def _ask(buckets: int):
                 chunk = Chunk(data.as_py(), buckets)
                 words, pairs = chunk.word_counts().astype(np.uint32), chunk.pair_counts().astype(np.uint32)
                 for b, own in chunk.words_of.items():
+                    own = own[np.argsort(chunk.vocabulary[own])]
                     both = chunk.pairs_of.get(b, np.zeros(0, np.int64))
                     left, n = np.unique(chunk.left[both], return_counts=True)
                     yield _batch([
                         ("u", number, b, _pack(chunk.vocabulary[own], words[own])),
                         ("b", number, b, _pack(chunk.vocabulary[left], n.astype(np.uint32), chunk.vocabulary[chunk.right[both]] & UPPER, pairs[both])),
                     ])
+                del chunk, words, pairs
+                tx.trim()
 
     return run
 
@@ -208,6 +217,8 @@ def _count(buckets: int):
                 histories, n = np.unique(h[own], return_counts=True)  # h is sorted
                 out.append(("G", 0, b, _pack(histories, n.astype(np.uint32), total[np.searchsorted(words, histories)], w[own], often[own])))
             yield _batch(out)
+            del rows, asked, words, back, total, pairs, left, right, n, order, edge, group, r, first, h, w, often, target, out
+            tx.trim()
 
     return run
 
@@ -288,13 +299,17 @@ def _score(shared, buckets: int):
         model = shared.value
         chunk = Chunk(next(data for kind, _, data in rows if kind == "C"), buckets)
         count, scale, weight = np.zeros(len(chunk.vocabulary), np.int64), np.ones(len(chunk.vocabulary)), np.ones(len(chunk.vocabulary))
-        r = np.zeros(len(chunk.pairs), np.int64)
+        r = np.zeros(len(chunk.left), np.int64)
+
+        def own(bucket: int) -> np.ndarray:
+            places = chunk.words_of[bucket]
+            return places[np.argsort(chunk.vocabulary[places])]  # as they were sent
+
         for kind, bucket, data in rows:
             if kind == "U":
-                count[chunk.words_of[bucket]] = _unpack(data)[0]
+                count[own(bucket)] = _unpack(data)[0]
             elif kind == "A":
-                own = chunk.words_of[bucket]
-                scale[own], weight[own] = _unpack(data)
+                scale[own(bucket)], weight[own(bucket)] = _unpack(data)
             elif kind == "B" and bucket in chunk.pairs_of:
                 r[chunk.pairs_of[bucket]] = _unpack(data)[0]
         share = model.unigram(count)
@@ -317,6 +332,8 @@ def _score(shared, buckets: int):
                 held.append((kind, bucket, data.as_py()))
         if held:
             yield one(held)
+        held.clear()
+        tx.trim()
 
     return run
 
