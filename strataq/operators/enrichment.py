@@ -61,7 +61,11 @@ def python_symbols(modules: DataFrame) -> DataFrame:
     return _rows(modules, "id", "text").mapInPandas(run, "id long, kind string, name string, line long")
 
 
-FRAMING = re.compile(r"^(remember that|note that|please note|fyi|for the record)[,:]?\s+")
+#: What frames a statement.
+FRAMES = ("note that", "please note", "remember that", "just so you know", "for the record", "for reference", "heads up", "fyi", "reminder")
+FRAMING = re.compile("^(" + "|".join(FRAMES) + r")[ \t:,\-–—]*")
+#: Of the rules of normalize(); a part of every key, so that keys of other rules differ.
+NORMALIZER = 1
 ARTICLE = re.compile(r"^(the|a|an)\s+")
 
 
@@ -71,6 +75,29 @@ def normalize(text: str) -> str:
     return ARTICLE.sub("", FRAMING.sub("", value, count=1), count=1).strip()
 
 
+def canonical_key(scope: str, subject: str | None, kind: str, written_by: str | None, text: str) -> str:
+    """The key that records share that say the same: records for all share one, others only with their writer's."""
+    acl = "*" if scope == "org" else written_by or ""
+    key = f"v{NORMALIZER}|{scope}|{subject or ''}|{kind}|{acl}|{normalize(text)}"
+    return hashlib.blake2b(key.encode(), digest_size=8).hexdigest()
+
+
+def folded(records: DataFrame) -> DataFrame:
+    """(record_id, canon_key, kept_id): of records with equal keys the first asserted is kept."""
+    spark = records.sparkSession
+    ship_package(spark)
+    names = ["record_id", "scope", "subject", "kind", "written_by", "text", "asserted_at"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = [canonical_key(*(None if pd.isna(x) else x for x in row[:-1]), row[-1] or "") for row in batch[names[1:6]].itertuples(index=False)]
+            yield batch[["record_id", "asserted_at"]].assign(canon_key=keys)
+
+    keyed = records.select(*names).mapInPandas(run, "record_id string, asserted_at string, canon_key string")
+    first = keyed.groupBy("canon_key").agg(F.min_by("record_id", F.struct("asserted_at", "record_id")).alias("kept_id"))
+    return keyed.join(first, "canon_key").select("record_id", "canon_key", "kept_id")
+
+
 def normalized(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, normalized, canon_key): equal keys mean equal statements."""
 

@@ -30,9 +30,12 @@ def effective_end(records: DataFrame) -> DataFrame:
     return records.join(by, "record_id", "left").withColumn("ends", F.least(until, "superseded_at"))
 
 
-def salience(now: str) -> Column:
-    """Recency (by the latest instant of the record) times evidence times the scope's weight."""
-    latest = F.greatest(*[F.when(F.col(c) == "", None).otherwise(F.col(c)) for c in ("asserted_at", "last_used_at")])
+def salience(now: str, columns: tuple[str, ...] = ("asserted_at", "last_seen", "last_used_at")) -> Column:
+    """Recency (by the latest instant of the record) times evidence times the scope's weight.
+
+    columns are the instants that the records have: asserted, seen again, used.
+    """
+    latest = F.greatest(*[F.when(F.col(c) == "", None).otherwise(F.col(c)) for c in ("asserted_at", "last_seen", "last_used_at") if c in columns])
     age = F.greatest(F.lit(0.0), F.coalesce((seconds(F.lit(now)) - seconds(latest)) / 86400.0, F.lit(0.0)))
     evidence = 1 + USE_WEIGHT * F.log1p(F.greatest(F.lit(0), F.coalesce("uses", F.lit(0)))) + OBSERVATION_WEIGHT * F.log1p(F.greatest(F.lit(0), F.coalesce("observations", F.lit(0))))
     weight = F.coalesce(*[F.when(F.col("scope") == s, w) for s, w in SCOPE_WEIGHTS.items()], F.lit(1.0))

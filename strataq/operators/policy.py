@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STEERING_KINDS = ("alias", "preference", "exclusion")
+MODES = ("auto", "off", "only", "prefer")
 
 
 @dataclass(frozen=True)
@@ -20,6 +21,23 @@ class MemoryPolicy:
     include_rules: bool = False
     tiers: tuple[str, ...] = ()
 
+    @classmethod
+    def parse(cls, value: str | dict | MemoryPolicy | None) -> MemoryPolicy:
+        """A policy from its mode alone, from a mapping, or as it is; what can't be read is the default."""
+        if isinstance(value, MemoryPolicy):
+            return value
+        given = {"mode": value} if isinstance(value, str) else value if isinstance(value, dict) else {}
+        mode = str(given.get("mode") or "auto").strip().lower()
+
+        def several(name: str) -> tuple[str, ...]:
+            own = given.get(name) or ()
+            return (own,) if isinstance(own, str) else tuple(str(x) for x in own)
+
+        return cls(
+            mode=mode if mode in MODES else "auto", scopes=several("scopes"), subject=str(given.get("subject") or ""), current_only=bool(given.get("current_only", True)),
+            as_of=str(given.get("as_of") or ""), include_rules=bool(given.get("include_rules", False)), tiers=several("tiers"),
+        )
+
     def instant(self, now: str) -> str | None:
         return self.as_of or (now if self.current_only else None)
 

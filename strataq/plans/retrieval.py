@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.corpus import duck_sql, raw, view
 from strataq.operators import chunking, enrichment, fulltext, fusion, graph, incremental, memory, policy, vectors
+from strataq.session import shared_dir
 from strataq.streaming import events as streams
 
 NOW = "2024-12-31T00:00:00Z"
@@ -47,8 +50,15 @@ def tx4_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.bm25(searchable(spark, sf_dir), QUERY_TERMS, 10)
 
 
+def tx4_bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index, which is built here."""
+    where = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    fulltext.build_index(searchable(spark, sf_dir), where)
+    return fulltext.search_index(spark, where, QUERY_TERMS, 10)
+
+
 def tx3_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = fulltext.tokens_text(F.col("text"))
+    text = fulltext.wide_text(fulltext.tokens_text(F.col("text")))
     return raw(spark, sf_dir, "documents").select("doc_id", fulltext.occurrences(text, "of_the").alias("n")).where("n > 0")
 
 
@@ -206,7 +216,7 @@ def tm1_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ENDS_SQL = """SELECT m.record_id, least(nullif(m.valid_until, ''), s.at) AS ends FROM memory_records m LEFT JOIN (SELECT supersedes, min(asserted_at) AS at FROM memory_records WHERE supersedes IS NOT NULL GROUP BY supersedes) s ON s.supersedes = m.record_id"""
-_AGE = f"(epoch(TIMESTAMP '{NOW[:10]} 00:00:00') - epoch(CAST(replace(replace(greatest(asserted_at, coalesce(last_used_at, '')), 'T', ' '), 'Z', '') AS TIMESTAMP))) / 86400.0"
+_AGE = f"(epoch(TIMESTAMP '{NOW[:10]} 00:00:00') - epoch(CAST(replace(replace(greatest(asserted_at, coalesce(last_used_at, ''), coalesce(last_seen, '')), 'T', ' '), 'Z', '') AS TIMESTAMP))) / 86400.0"
 _SALIENCE = f"round(pow(0.5, greatest(0.0, {_AGE}) / 90.0) * (1 + 0.5 * ln(1 + uses) + 0.5 * ln(1 + observations)) * CASE scope WHEN 'org' THEN 1.25 WHEN 'session' THEN 0.6 ELSE 1.0 END, 6)"
 
 
@@ -317,7 +327,9 @@ def st_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def st15_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.drain(streams.deduplicated(streams.source(spark, sf_dir).withWatermark("ts", streams.WATERMARK)), "append")
+    """Every event comes twice and leaves once."""
+    twice = streams.source(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+    return streams.drain(streams.deduplicated(twice.withWatermark("ts", streams.WATERMARK)), "append")
 
 
 def st14_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,6 +359,7 @@ def dx8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = {
     "tx4_bm25": bm25_sql(QUERY_TERMS, 10),
+    "tx4_bm25_index": bm25_sql(QUERY_TERMS, 10),
     "tx3_phrase": rf"WITH t AS (SELECT doc_id, ' ' || replace({_TOKENS % 'text'}, ' ', '  ') || ' ' AS w FROM documents) SELECT doc_id, CAST((length(w) - length(replace(w, ' of  the ', ''))) / 9 AS BIGINT) AS n FROM t WHERE w LIKE '% of  the %'",
     "tx2_tokenize": f"SELECT token, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(string_split({_TOKENS % 'text'}, ' '))) AS token FROM documents) t GROUP BY token HAVING count(*) >= 5",
     "tx1_query_tokens": "SELECT unnest(['call', 'config', 'engine', 'httpserver', 'parse', 'parseconfig', 'sync', 'sync_engine']) AS token",
@@ -378,6 +391,9 @@ SQL = {
     "w14_sessions": _SESSIONS_SQL,
     "st_tumbling": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY date_trunc('hour', ts), event_type",
     "st_sliding": "SELECT window_start, count(*) AS n FROM (SELECT time_bucket(INTERVAL 15 MINUTES, ts) - INTERVAL (15 * i) MINUTES AS window_start FROM events CROSS JOIN generate_series(0, 3) g(i)) t GROUP BY window_start",
+    "st_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS fresh FROM events),
+        s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+        SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTES AS session_end, count(*) AS n FROM s GROUP BY user_id, sid""",
     "st15_dedup": "SELECT event_id, event_type FROM events",
     "st14_counters": "SELECT user_id, count(*) AS uses, max(ts) AS last_used_at FROM events GROUP BY user_id",
 }

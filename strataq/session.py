@@ -92,3 +92,9 @@ def forget(df: DataFrame, *parts: str) -> None:
     for folder in [f"{root}/{part}" for root in roots for part in parts or ("",)]:
         path = jvm.org.apache.hadoop.fs.Path(folder.rstrip("/"))
         path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a few files over all cores, before work that costs more than a shuffle of them; many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

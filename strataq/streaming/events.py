@@ -39,7 +39,7 @@ def user_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 def deduplicated(events: DataFrame) -> DataFrame:
     """First events of each id; keys are forgotten once the watermark has passed."""
-    return events.withColumn("doubled", F.explode(F.array(F.lit(0), F.lit(1)))).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type")
+    return events.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type")
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
