@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,29 +54,156 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("p", "content")).select(id_col, (F.col("p") + 1).alias("line"), "content")
 
 
-#: Keywords that begin a heading, and their levels (fixed values).
-KEYWORD_LEVELS = {"part": 1, "title": 1, "chapter": 2, "article": 2, "section": 3, "appendix": 1, "annex": 1, "schedule": 1}
+#: Keywords that begin a heading, by level, and the most words that a title has.
+KEYWORDS = {1: "book part title division schedule appendix annex exhibit", 2: "chapter subpart", 3: "article section rule regulation", 4: "clause step paragraph", 5: "subsection"}
+KEYWORD_LEVELS = {w: level for level, words in KEYWORDS.items() for w in words.split()}
+MAX_TITLE_WORDS = 10
+HEADING = "line int, level int, kind string, number string, title string"
 
 
 def headings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line, level, kind, number, title) by rule families: Markdown, keyword, section sign, numbered, lettered, capitals."""
+    """(id, line, level, kind, number, title) by rule families: Markdown, keyword, section sign, numbered, lettered, capitals.
+
+    A heading without a title takes the next line with text, two lines on at most, if that is short and no heading.
+    """
     text = F.trim("content")
-    keyword = "(?i)^(" + "|".join(KEYWORD_LEVELS) + r")\s+([0-9]+|[ivxlc]+|[a-z])\b[.:]?\s*(.*)$"
-    numbered = r"^([0-9]+(?:\.[0-9]+)*)[.)]?\s+(\p{Lu}.*)$"
-    lettered = r"^\(([a-z]{1,4})\)\s+(.+)$"
+    keyword = "(?i)^(" + "|".join(KEYWORD_LEVELS) + r")\s+([0-9]+(?:\.[0-9]+)*[a-z]?|[ivxlcdm]+|[a-z])\b\s*[-–—:.)]?\s*(.*)$"
+    code = r"^§{1,2}\s*([0-9]+(?:\.[0-9]+)*[A-Za-z]?)\s*[-–—:.)]?\s*(.*)$"
+    numbered = r"^([0-9]+(?:\.[0-9]+){0,5})\.?\s+(\p{Lu}.*)$"
+    lettered = r"^\(([a-z]{1,2}|[ivxlcdm]{1,5})\)\s*(\S.*)$"
+    short = F.size(F.split(text, r"\s+")) <= MAX_TITLE_WORDS + 2
+    sentence = text.rlike(r"[.;,]$")
     kind = (
-        F.when(text.rlike(r"^#{1,6}\s+\S"), "markdown").when(text.rlike(keyword), "keyword").when(text.rlike(r"^§+\s*[0-9]"), "code")
-        .when(text.rlike(numbered) & (F.length(text) <= 120), "numbered").when(text.rlike(lettered), "lettered")
-        .when(text.rlike(r"^[\p{Lu}][\p{Lu} ]{3,80}$"), "caps")
+        F.when(text.rlike(r"^#{1,6}\s+\S"), "markdown").when(text.rlike(keyword) & short, "keyword").when(text.rlike(code) & short, "code")
+        .when(text.rlike(numbered) & short & ~sentence, "numbered").when(text.rlike(lettered) & short, "lettered")
+        .when(text.rlike(r"^\p{Lu}[\p{Lu}0-9][\p{Lu}0-9 ,'&/()\[\].:;–—-]{2,78}$") & text.rlike(r"\p{Lu}{3}"), "caps")
     )
     level_of = F.coalesce(*[F.when(F.lower(F.regexp_extract(text, keyword, 1)) == w, n) for w, n in KEYWORD_LEVELS.items()], F.lit(3))
-    number = F.when(kind == "keyword", F.regexp_extract(text, keyword, 2)).when(kind == "numbered", F.regexp_extract(text, numbered, 1)).when(kind == "lettered", F.regexp_extract(text, lettered, 1)).when(kind == "code", F.regexp_extract(text, r"^§+\s*([0-9.]+)", 1)).otherwise("")
+    parts = {"keyword": (keyword, 2, 3), "code": (code, 1, 2), "numbered": (numbered, 1, 2), "lettered": (lettered, 1, 2)}
+    number, title = F.lit(""), text
+    for name, (pattern, at_number, at_title) in parts.items():
+        number = F.when(F.col("kind") == name, F.regexp_extract(text, pattern, at_number)).otherwise(number)
+        title = F.when(F.col("kind") == name, F.regexp_extract(text, pattern, at_title)).otherwise(title)
+    title = F.when(F.col("kind") == "markdown", F.regexp_extract(text, r"^#+\s+(.*?)\s*#*$", 1)).otherwise(title)
     level = (
-        F.when(kind == "markdown", F.length(F.regexp_extract(text, "^(#+)", 1))).when(kind == "keyword", level_of).when(kind == "code", 3)
-        .when(kind == "numbered", F.size(F.split(F.regexp_extract(text, numbered, 1), r"\."))).when(kind == "lettered", 4).otherwise(1)
+        F.when(F.col("kind") == "markdown", F.length(F.regexp_extract(text, "^(#+)", 1))).when(F.col("kind") == "keyword", level_of).when(F.col("kind") == "code", 3)
+        .when(F.col("kind") == "numbered", F.size(F.split(F.regexp_extract(text, numbered, 1), r"\."))).when(F.col("kind") == "lettered", 6).otherwise(1)
     )
-    title = F.when(kind == "markdown", F.regexp_extract(text, r"^#+\s+(.*?)\s*#*$", 1)).when(kind == "keyword", F.regexp_extract(text, keyword, 3)).when(kind == "numbered", F.regexp_extract(text, numbered, 2)).when(kind == "lettered", F.regexp_extract(text, lettered, 2)).otherwise(text)
-    return lines(docs, id_col, text_col).withColumn("kind", kind).where("kind IS NOT NULL").select(id_col, "line", level.alias("level"), "kind", number.alias("number"), title.alias("title"))
+    marked = lines(docs, id_col, text_col).withColumn("kind", kind)
+    ahead = F.struct("kind", text.alias("t"))
+    order = W.partitionBy(id_col).orderBy("line")
+    seen = marked.withColumn("next", F.lead(ahead, 1).over(order)).withColumn("after", F.lead(ahead, 2).over(order)).where("kind IS NOT NULL")
+
+    def fits(column: str):
+        t = F.col(f"{column}.t")
+        return F.when(F.col(f"{column}.kind").isNull() & (t != "") & (F.size(F.split(t, r"\s+")) <= MAX_TITLE_WORDS) & ~t.rlike(r"[.;,]$"), t)
+
+    caption = F.coalesce(fits("next"), F.when(F.col("next.t") == "", fits("after")), F.lit(""))
+    own = F.when((title == "") & F.col("kind").isin("keyword", "code"), caption).otherwise(title)
+    return seen.select(id_col, "line", level.cast("int").alias("level"), "kind", number.alias("number"), own.alias("title"))
+
+
+def ordinal(kind: str, number: str) -> list[int]:
+    """Place of a heading among its siblings, as a path: 4.2 is [4, 2], IV is [4], b is [2]; empty if there is none."""
+    if re.fullmatch(r"[0-9]+(\.[0-9]+)*[A-Za-z]?", number):
+        return [int(x) for x in re.findall("[0-9]+", number)]
+    value = roman(number)
+    lone_letter = kind == "lettered" and len(number) == 1 and number in "cdlm"
+    if value and not lone_letter:
+        return [value]
+    return [ord(number.lower()) - 96] if re.fullmatch("[A-Za-z]", number) else []
+
+
+def nested(rows: list[dict]) -> list[dict]:
+    """Headings of one document, in order, with ordinal, parent (line or None) and path of titles.
+
+    A lone i, v or x right after h, u or w at the same place is a letter. A number whose beginning was a heading goes below
+    that; all others below the last open heading of a lower level.
+    """
+    open_: list[dict] = []
+    by_number: dict[tuple, dict] = {}
+    last_letter = 0
+    for row in rows:
+        own = ordinal(row["kind"], row["number"])
+        if row["kind"] == "lettered":
+            letter = ord(row["number"]) - 96 if len(row["number"]) == 1 else 0
+            own = [letter] if letter and letter == last_letter + 1 else own
+            last_letter = own[0] if own else 0
+        else:
+            last_letter = 0
+        row["ordinal"] = own
+        above = by_number.get(tuple(own[:-1])) if row["kind"] in ("numbered", "code") and len(own) > 1 else None
+        if above in open_:
+            del open_[open_.index(above) + 1 :]
+        while open_ and above is None and open_[-1]["level"] >= row["level"]:
+            open_.pop()
+        row["parent"] = open_[-1]["line"] if open_ else None
+        row["path"] = " > ".join([*(x["title"] or x["number"] for x in open_), row["title"] or row["number"]])
+        open_.append(row)
+        if row["kind"] in ("numbered", "code"):
+            by_number[tuple(own)] = row
+    return rows
+
+
+def outline(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, line, level, kind, number, title, ordinal, parent, path): headings in their hierarchy, a document at a time."""
+    ship_package(docs.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = nested(pdf.sort_values("line").to_dict("records"))
+        out = pd.DataFrame(rows, columns=["id", "line", "level", "kind", "number", "title", "ordinal", "parent", "path"])
+        return out.assign(parent=out["parent"].astype("Int32"))
+
+    found = headings(docs, id_col, text_col).withColumnRenamed(id_col, "id").withColumn("id", F.col("id").cast("string"))
+    kind = docs.schema[id_col].dataType
+    out = found.groupBy("id").applyInPandas(run, f"id string, {HEADING}, ordinal array<int>, parent int, path string")
+    return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+
+
+def heading_edges(outlines: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(from_node, to_node, type): headings below their document or their parent."""
+    own = F.concat(F.lit("heading:"), F.col(id_col), F.lit(":"), F.col("line"))
+    above = F.when(F.col("parent").isNotNull(), F.concat(F.lit("heading:"), F.col(id_col), F.lit(":"), F.col("parent"))).otherwise(F.concat(F.lit("file:"), F.col(id_col)))
+    return outlines.select(above.alias("from_node"), own.alias("to_node"), F.when(F.col("parent").isNull(), "has_heading").otherwise("contains").alias("type"))
+
+
+def tree(rows: list[dict]) -> list[dict]:
+    """Nested headings, each with its children, of one document's outline."""
+    by_line = {r["line"]: {"title": r["title"], "number": r["number"], "line": r["line"], "children": []} for r in rows}
+    for r in rows:
+        if r["parent"] is not None:
+            by_line[r["parent"]]["children"].append(by_line[r["line"]])
+    return [by_line[r["line"]] for r in rows if r["parent"] is None]
+
+
+def section_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_chars: int = 4000, overlap: int = 400) -> DataFrame:
+    """(id, chunk_index, start_line, heading_path, chunk): a chunk for each heading's span and for what comes before.
+
+    Spans that are longer than max_chars are cut into windows. Blank chunks are left out.
+    """
+    ship_package(docs.sparkSession)
+    marks = outline(docs, id_col, text_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("line", "path"))).alias("marks"))
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").join(marks, id_col, "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, text, found in batch.itertuples(index=False):
+                all_lines = text.split("\n")
+                found = [] if found is None else list(found)
+                cuts = [(1, ""), *((m["line"], m["path"]) for m in found)]
+                n = 0
+                for (begin, path), end in zip(cuts, [*(c[0] for c in cuts[1:]), len(all_lines) + 1], strict=True):
+                    span = "\n".join(all_lines[begin - 1 : end - 1])
+                    for a, b in windows(span, max_chars, overlap):
+                        piece = span[a:b].strip()
+                        if piece:
+                            out.append((key, n, begin + span.count("\n", 0, a), path, piece))
+                            n += 1
+            yield pd.DataFrame(out, columns=["id", "chunk_index", "start_line", "heading_path", "chunk"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return rows.mapInPandas(run, f"id {kind}, chunk_index int, start_line int, heading_path string, chunk string").withColumnRenamed("id", id_col)
 
 
 def roman(numeral: str) -> int | None:

@@ -11,7 +11,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataq.session import ship_package
@@ -183,3 +183,19 @@ def html_text(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
             yield pd.DataFrame({"id": batch["id"], "text": [text_of_html(t or "") for t in batch["text"]]})
 
     return _rows(pages, id_col, html_col).mapInPandas(run, "id long, text string").withColumnRenamed("id", id_col)
+
+
+MARKDOWN_LINK, WIKI_LINK, WEB_LINK = r"\[[^\]\n]*\]\(([^)\s]+)[^)]*\)", r"\[\[([^\]|\n]+)(?:\|[^\]\n]*)?\]\]", r"(https?://[^\s)>\]\"']+)"
+CITATION = r"\[@?([A-Za-z][A-Za-z0-9_.:-]{2,})\](?!\()"
+
+
+def link_targets(text: Column) -> Column:
+    """Targets of Markdown links, wiki links and web addresses, each once, in this order of kinds."""
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (MARKDOWN_LINK, WIKI_LINK, WEB_LINK)]
+    return F.array_distinct(F.transform(F.concat(*found), lambda x: F.trim(x)))
+
+
+def citations(text: Column) -> Column:
+    """Cited keys in brackets, without version numbers; of keys that differ in case only, the first."""
+    found = F.filter(F.regexp_extract_all(text, F.lit(CITATION), F.lit(1)), lambda x: ~x.rlike(r"^[vV]?[0-9xXyYzZ]+([._-][0-9xXyYzZ]+)*$"))
+    return F.filter(found, lambda x, i: F.array_position(F.transform(found, lambda y: F.lower(y)), F.lower(x)) == i + 1)

@@ -30,15 +30,12 @@ STATEMENTS: dict[str, str] = {
     "sk8_projection_rebuild": "SELECT n.record_id, n.scope, coalesce(o.uses, 0) AS uses, coalesce(o.observations, 1) AS observations FROM memory_records n LEFT JOIN (SELECT * FROM memory_records WHERE turn % 2 = 0) o ON n.record_id = o.record_id",
     "sk9_cascade_delete": "SELECT c.id FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM artifacts a WHERE a.id = c.artifact_id AND a.source_id = 'source:kb:src0')",
     "sk10_snapshot_retention": "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) AS r, sum(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey ROWS UNBOUNDED PRECEDING) AS total FROM orders) t WHERE total <= 1000000 OR r = 1",
-    "sk11_node_link": "WITH picked AS (SELECT node_id FROM graph_nodes WHERE type <> 'part' ORDER BY node_id LIMIT 500) SELECT e.from_node, e.to_node, e.type FROM graph_edges e JOIN picked p ON p.node_id = e.from_node JOIN picked q ON q.node_id = e.to_node",
     "sk17_migration_verify": "SELECT a.n AS source_rows, b.n AS target_rows, a.n = b.n AS verified FROM (SELECT count(*) AS n FROM documents) a CROSS JOIN (SELECT count(*) AS n FROM chunks) b",
     "sk19_events_newest": "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 40",
     # Row generators
     "tg4_markdown_headings": "SELECT doc_id, pos, regexp_extract(line, '^(#+) +(.*)$', 2) AS title, length(regexp_extract(line, '^(#+) +(.*)$', 1)) AS level FROM (SELECT doc_id, CAST(i AS BIGINT) AS pos, @SPLIT(text, chr(10))[CAST(i AS INT) @BASE] AS line FROM (SELECT doc_id, text, @UNNEST(@SEQ(1, @SIZE(@SPLIT(text, chr(10))))) AS i FROM documents) s) t WHERE line LIKE '#%'",
     "tg11_frontmatter": "SELECT doc_id, CAST(length(regexp_replace('---' || chr(10) || 'id: 1' || chr(10) || '---' || chr(10) || text, '^---\n[^\n]*\n---\n', '')) AS BIGINT) AS n FROM documents",
     "tg13_urls": "SELECT page_id, count(*) AS n_links FROM (SELECT page_id, @UNNEST(@DISTINCT(@FIND(html, 'https?://[^ )>\"<]+', 0))) AS link FROM pages) t GROUP BY page_id",
-    "tg14_links": "SELECT doc_id, @UNNEST(@DISTINCT(@FIND(text, 'https?://[^ )>\\]]+', 0))) AS link FROM documents".replace("\\]", ""),
-    "tg15_citations": "SELECT doc_id, @UNNEST(@DISTINCT(@FILTER(@FIND(text, '@LB@?([A-Za-z0-9_.:-]+)@RB', 1), @L(x) length(x) >= 3 AND NOT regexp_matches(x, '^[vV]?[0-9xXyYzZ]+([._-][0-9xXyYzZ]+)*$')))) AS citation FROM documents",
     "tg16_entities": "SELECT entity, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, @UNNEST(@DISTINCT(@FIND(text, '[A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){1,3}', 0))) AS entity FROM documents) t GROUP BY entity",
     "tg17_directory_chain": "SELECT DISTINCT d, length(d) - length(replace(d, '/', '')) AS depth FROM (SELECT lang AS d FROM documents UNION ALL SELECT lang || '/' || source FROM documents) t",
     "tg19_artifact_edges": "SELECT source_id AS from_node, id AS to_node, 'contains' AS type FROM artifacts UNION ALL SELECT artifact_id, id, 'has_chunk' FROM chunks",

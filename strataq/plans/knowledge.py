@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.corpus import duck_sql, raw, view
-from strataq.operators import enrichment, graph, paths, policy, steering
+from strataq.operators import chunking, enrichment, graph, paths, policy, steering
+from strataq.sources import report
 
 _ODD = ("/.env", "/keys/id_rsa.pub", "/node_modules/x/index.js", "/src/app.PY", "/docs/guide.md", "/media/a.b.PNG", "/build", "/.md")
 
@@ -84,6 +85,68 @@ def tm4_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, p.mode, "|".join(p.scopes), p.as_of, p.current_only, "|".join(p.allowed_tiers())) for i, p in enumerate(parsed)], "i int, mode string, scopes string, as_of string, current_only boolean, tiers string")
 
 
+_PLAN = "opening words\n\n# Plan {n}\n\nPart IV\nGeneral Terms\nArticle 2: Scope\nbody of it.\n1. Aims\n1.1 Details\n(h) eighth\n(i) ninth\n(ii) second\n1.2 More\nFINAL RULES\n1. Not a title because it ends so."
+
+
+def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): a document with headings of all families for each nation."""
+    return raw(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.replace(F.lit(_PLAN), F.lit("{n}"), F.col("n_name")).alias("text"))
+
+
+def tg4_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.headings(plans(spark, sf_dir))
+
+
+def tg8_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.outline(plans(spark, sf_dir)).select("doc_id", "line", F.array_join(F.transform("ordinal", lambda x: x.cast("string")), ".").alias("ordinal"), "parent", "path")
+
+
+def tg18_heading_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.heading_edges(chunking.outline(plans(spark, sf_dir)))
+
+
+def tg2_section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.section_chunks(plans(spark, sf_dir)).select("doc_id", "chunk_index", "start_line", F.length("chunk").alias("n"))
+
+
+_NOTE = "See [guide](docs/a.md 'A') and [[Notes|n]], [x](https://e.org/p) or https://e.org/q?{n}. As in [@Knuth84], [knuth84] and [v1.2.3], [ab]; [Smith:2001](y)."
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw(spark, sf_dir, "supplier").select("s_suppkey", F.replace(F.lit(_NOTE), F.lit("{n}"), F.col("s_suppkey").cast("string")).alias("text"))
+
+
+def tg14_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes(spark, sf_dir).select("s_suppkey", F.posexplode(enrichment.link_targets(F.col("text"))).alias("place", "target"))
+
+
+def tg15_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes(spark, sf_dir).select("s_suppkey", F.explode(enrichment.citations(F.col("text"))).alias("citation"))
+
+
+def tg13_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and citations of real texts and pages, by kind."""
+    texts = raw(spark, sf_dir, "documents").select("text").unionByName(raw(spark, sf_dir, "pages").select(F.col("html").alias("text"))).unionByName(notes(spark, sf_dir).select("text"))
+    found = texts.select(F.size(enrichment.link_targets(F.col("text"))).alias("links"), F.size(enrichment.citations(F.col("text"))).alias("cited"))
+    return found.agg(F.count("*").alias("texts"), F.sum("links").alias("links"), F.sum("cited").alias("cited"))
+
+
+def sk11_node_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bounded part of the graph with totals: links of the first 40 nodes, with whether there are more."""
+    nodes = view(spark, sf_dir, "graph_nodes").where("type IN ('region', 'nation', 'customer')")
+    _, links, totals = report.node_link(nodes, view(spark, sf_dir, "graph_edges"), 40, 20, exclude_types=["customer"])
+    return links.crossJoin(F.broadcast(totals.select("truncated")))
+
+
+def sk12_cytoscape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = view(spark, sf_dir, "graph_nodes").where("type = 'nation'")
+    return report.cytoscape(nodes, view(spark, sf_dir, "graph_edges").where("from_node LIKE 'region:%'"))
+
+
+_OUTLINE = """(VALUES (3, 1, 'markdown', '', 'Plan', '', NULL, '*'), (5, 1, 'keyword', 'IV', 'General Terms', '4', NULL, 'General Terms'), (7, 3, 'keyword', '2', 'Scope', '2', 5, 'General Terms > Scope'),
+    (9, 1, 'numbered', '1', 'Aims', '1', NULL, 'Aims'), (10, 2, 'numbered', '1.1', 'Details', '1.1', 9, 'Aims > Details'), (11, 6, 'lettered', 'h', 'eighth', '8', 10, 'Aims > Details > eighth'),
+    (12, 6, 'lettered', 'i', 'ninth', '9', 10, 'Aims > Details > ninth'), (13, 6, 'lettered', 'ii', 'second', '2', 10, 'Aims > Details > second'), (14, 2, 'numbered', '1.2', 'More', '1.2', 9, 'Aims > More'),
+    (15, 1, 'caps', '', 'FINAL RULES', '', NULL, 'FINAL RULES')) v(line, level, kind, number, title, ordinal, parent, path)"""
 _TOKENS, _QUERY = ["asia", "contains"], "asia contains"
 
 
@@ -120,6 +183,15 @@ SQL = {
     "tm17_rules": """SELECT conv_id, turn, (['alias', 'preference', 'exclusion'])[turn % 4 + 1] AS type, CASE turn % 4 WHEN 0 THEN 'svc' || conv_id WHEN 1 THEN 'q1|q2' ELSE '' END AS triggers,
         CASE turn % 4 WHEN 0 THEN 'a|b' WHEN 1 THEN 'docs/' || conv_id ELSE 'tmp/' || conv_id || '|tmp' END AS "values" FROM conversations WHERE turn % 4 < 3""",
     "tm4_policies": "SELECT * FROM (VALUES (0, 'auto', '', '', true, 'hot'), (1, 'off', '', '', true, 'hot'), (2, 'auto', '', '', true, 'hot'), (3, 'only', 'org', '', true, 'cold'), (4, 'auto', '', '2024-01-01T00:00:00Z', false, 'hot|cold'), (5, 'auto', '', '', true, 'hot')) t(i, mode, scopes, as_of, current_only, tiers)",
+    "tg14_links": "SELECT s_suppkey, CAST(place AS INTEGER) AS place, replace(target, '{n}', CAST(s_suppkey AS STRING)) AS target FROM supplier CROSS JOIN (VALUES (0, 'docs/a.md'), (1, 'https://e.org/p'), (2, 'y'), (3, 'Notes'), (4, 'https://e.org/q?{n}.')) v(place, target)",
+    "tg15_citations": "SELECT s_suppkey, 'Knuth84' AS citation FROM supplier",
+    "sk11_node_link": duck_sql("SELECT from_node, to_node, type, true AS truncated FROM (SELECT DISTINCT from_node, to_node, type FROM graph_edges WHERE from_node LIKE 'region:%' AND to_node LIKE 'nation:%') e ORDER BY from_node, to_node, type LIMIT 20"),
+    "sk12_cytoscape": """SELECT 'nodes' AS "group", '{"id":"nation:' || n_nationkey || '","label":"' || n_name || '","type":"nation"}' AS data FROM nation
+        UNION ALL SELECT 'edges', '{"id":"region:' || n_regionkey || '|contains|nation:' || n_nationkey || '","source":"region:' || n_regionkey || '","target":"nation:' || n_nationkey || '","type":"contains"}' FROM nation""",
+    "tg4_headings": f"SELECT n_nationkey AS doc_id, line, level, kind, number, title || CASE WHEN kind = 'markdown' THEN ' ' || n_name ELSE '' END AS title FROM nation CROSS JOIN {_OUTLINE}",
+    "tg8_outline": f"SELECT n_nationkey AS doc_id, line, ordinal, parent, CASE WHEN path = '*' THEN 'Plan ' || n_name ELSE path END AS path FROM nation CROSS JOIN {_OUTLINE}",
+    "tg18_heading_edges": f"SELECT CASE WHEN parent IS NULL THEN 'file:' || n_nationkey ELSE 'heading:' || n_nationkey || ':' || parent END AS from_node, 'heading:' || n_nationkey || ':' || line AS to_node, CASE WHEN parent IS NULL THEN 'has_heading' ELSE 'contains' END AS type FROM nation CROSS JOIN {_OUTLINE}",
+    "tg2_section_chunks": "SELECT n_nationkey AS doc_id, i AS chunk_index, line AS start_line, n + CASE WHEN i = 1 THEN length(n_name) ELSE 0 END AS n FROM nation CROSS JOIN (VALUES (0, 1, 13), (1, 3, 7), (2, 5, 21), (3, 7, 28), (4, 9, 7), (5, 10, 11), (6, 11, 10), (7, 12, 9), (8, 13, 11), (9, 14, 8), (10, 15, 46)) v(i, line, n)",
     "gr8_relationships": duck_sql(f"SELECT from_node, to_node, round(CAST(greatest({_ladder('e.type', 0.65, 0.55, 0.45)}, {_ladder('a.label', 0.5, 0.4, 0.3)}, {_ladder('b.label', 0.5, 0.4, 0.3)}) AS DOUBLE), 3) AS score, a.label || ' —' || e.type || '→ ' || b.label AS title FROM graph_edges e JOIN graph_nodes a ON a.node_id = e.from_node JOIN graph_nodes b ON b.node_id = e.to_node WHERE e.from_node LIKE 'region:%'"),
     "w8_facts": duck_sql("""WITH RECURSIVE c AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY o) AS d, o FROM (SELECT DISTINCT l_suppkey AS s, 'part:' || CAST(l_partkey AS STRING) AS o FROM lineitem WHERE l_suppkey IN (1, 2, 3)) x),
         g AS (SELECT *, row_number() OVER (ORDER BY d, s) AS n FROM c WHERE d <= 32),

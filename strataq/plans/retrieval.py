@@ -277,10 +277,6 @@ def tg3_as_of_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AS_OF_SQL = """SELECT p.conv_id, p.turn, (SELECT 'q' || max(m.turn) FROM conversations m WHERE m.role = 'user' AND m.conv_id = p.conv_id AND m.turn <= p.turn) AS mark FROM conversations p WHERE p.role <> 'user'"""
 
 
-def tg4_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.headings(raw(spark, sf_dir, "documents"))
-
-
 def tg9_gap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = raw(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("series"), F.col("l_linenumber").cast("long").alias("line"), (F.col("l_linenumber") + F.when(F.col("l_quantity") > 40, 2).when(F.col("l_quantity") < 5, -1).otherwise(0)).cast("long").alias("ordinal"))
     rows = rows.groupBy("series", "line").agg(F.max("ordinal").alias("ordinal"))
