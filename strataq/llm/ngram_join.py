@@ -41,12 +41,13 @@ from strataq.operators.graph import components
 from strataq.session import checkpointed, forget, ship_package
 
 from . import _text as tx
+from ._frequent import most_frequent
 
 WORDS = 5
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
 NUMERATOR, DENOMINATOR = 80, 100
 #: Frequent shingles of which all partitions know (16 bytes each).
-FREQUENT = 200_000
+FREQUENT = 400_000
 LOCAL_FREQUENT = 20_000
 FLUSH_BYTES = 32 << 20
 BITS = 1 << 23
@@ -389,14 +390,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = checkpointed(rows.mapInArrow(_signatures, "id long, size long, set long"))
     # Frequent shingles have a null size; documents have one.
-    often = signed.where("size IS NULL").groupBy("set").agg(F.sum("id").alias("n")).orderBy(F.desc("n"), "set").limit(FREQUENT).toPandas()
-    keys, counts = often["set"].to_numpy(np.int64).view(np.uint64), np.minimum(often["n"].to_numpy(np.int64), (1 << 42) - 1).astype(np.uint64)
-    order = np.argsort(keys)
+    keys, counts = most_frequent(checkpointed(signed.where("size IS NULL").groupBy("set").agg(F.sum("id").alias("n"))), "set", FREQUENT)
+    often = keys, np.minimum(counts, (1 << 42) - 1).astype(np.uint64)
     signed = signed.where("size IS NOT NULL")
     texts = rows.where("id IS NOT NULL AND text IS NOT NULL").select("text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     classes = signed.where("size > 0 AND id IS NOT NULL").groupBy("set").agg(F.first("size").alias("size"), F.count("*").alias("copies"), F.min("id").alias("least"))
-    links = class_links(texts, (keys[order], counts[order]), classes, parts, **limits)
+    links = class_links(texts, often, classes, parts, **limits)
     labels = components(links.where("set <> root").select(F.col("set").alias("a"), F.col("root").alias("b")))
     linked = links.groupBy("set").agg(F.sum("linked").alias("linked"))
     named = classes.join(labels.withColumnRenamed("node", "set"), "set", "left").join(linked, "set", "left").select("set", "least", F.coalesce("label", "set").alias("label"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from strataq.session import checkpointed, ship_package
 
 from . import _text as tx
+from ._frequent import most_frequent
 from ._suffix import common_prefixes, sort_suffixes
 
 SPAN = 200
@@ -277,14 +278,7 @@ def _sort_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _known_anchors(texts: DataFrame, least: int) -> np.ndarray:
     """Sorted hashes of anchors with at least that many segments, of at most ANCHORS: the bound rises where there are more."""
     counts = checkpointed(texts.select("__text").mapInArrow(lambda batches: _common_anchors(batches, min(LOCAL_COMMON, least)), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    size = F.floor(F.log2("n") * 8).alias("size")
-    total = 0
-    for row in counts.groupBy(size).count().orderBy(F.desc("size")).collect():  # some hundred rows
-        total += row["count"]
-        if total > ANCHORS:
-            counts = counts.where(size > row["size"])
-            break
-    return np.sort(counts.select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(np.uint64))
+    return most_frequent(counts, "anchor", ANCHORS)[0]
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
