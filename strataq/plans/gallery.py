@@ -73,7 +73,7 @@ STATEMENTS: dict[str, str] = {
     "j19_both_endpoints": "SELECT e.from_node, e.to_node FROM graph_edges e WHERE e.from_node IN (SELECT node_id FROM graph_nodes WHERE type = 'nation') AND e.to_node IN (SELECT node_id FROM graph_nodes WHERE type = 'supplier')",
     "j20_stale_vectors": "SELECT vec_id FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = e.vec_id AND d.doc_id % 3 <> 0)",
     "j21_embed_missing": "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)",
-    "j22_orphan_nodes": "SELECT n.node_id FROM graph_nodes n WHERE NOT EXISTS (SELECT 1 FROM graph_edges e WHERE e.from_node = n.node_id) AND NOT EXISTS (SELECT 1 FROM graph_edges e WHERE e.to_node = n.node_id)",
+    "j22_orphan_nodes": "SELECT n.node_id FROM graph_nodes n LEFT JOIN (SELECT DISTINCT node FROM (SELECT from_node AS node FROM graph_edges UNION ALL SELECT to_node AS node FROM graph_edges) b) e ON e.node = n.node_id WHERE e.node IS NULL",
     "j23_dangling_keys": "SELECT count(*) AS dangling FROM chunks WHERE artifact_id NOT IN (SELECT id FROM artifacts)",
     "j24_cross_type_matrix": "SELECT f.type AS from_type, t.type AS to_type, count(*) AS n FROM graph_edges e JOIN graph_nodes f ON f.node_id = e.from_node JOIN graph_nodes t ON t.node_id = e.to_node WHERE f.type IS DISTINCT FROM t.type GROUP BY f.type, t.type",
     "j25_as_of_validity": "SELECT i.at, count(*) AS valid FROM (SELECT '2024-03-01T00:00:00Z' AS at UNION ALL SELECT '2024-06-01T00:00:00Z' UNION ALL SELECT '2024-12-01T00:00:00Z') i JOIN memory_records m ON (coalesce(m.valid_from, '') = '' OR m.valid_from <= i.at) AND (coalesce(m.valid_until, '') = '' OR m.valid_until > i.at) GROUP BY i.at",
