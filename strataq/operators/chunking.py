@@ -38,16 +38,19 @@ def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_c
         for batch in batches:
             rows = []
             for key, text in zip(batch["id"], batch["text"], strict=True):
-                number = 0
-                for start, end in windows(text or "", max_chars, overlap):
+                text = text or ""
+                number = counted = line = 0  # line: line ends before counted
+                last = max(1, len(text.splitlines()))
+                for start, end in windows(text, max_chars, overlap):
+                    line, counted = line + text.count("\n", counted, start), start
                     body = text[start:end].strip()
                     if body:
-                        rows.append((key, number, text.count("\n", 0, start) + 1, min(text.count("\n", 0, end) + 1, max(1, len(text.splitlines()))), body))
+                        rows.append((key, number, line + 1, min(line + text.count("\n", start, end) + 1, last), body))
                         number += 1
             yield pd.DataFrame(rows, columns=["id", "chunk_index", "start_line", "end_line", "text"])
 
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return kept.mapInPandas(run, "id long, chunk_index long, start_line long, end_line long, text string").withColumn("text_hash", F.sha2("text", 256)).withColumnRenamed("id", id_col)
+    return kept.mapInPandas(run, f"id {dict(kept.dtypes)['id']}, chunk_index long, start_line long, end_line long, text string").withColumn("text_hash", F.sha2("text", 256)).withColumnRenamed("id", id_col)
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,10 +198,12 @@ def section_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 n = 0
                 for (begin, path), end in zip(cuts, [*(c[0] for c in cuts[1:]), len(all_lines) + 1], strict=True):
                     span = "\n".join(all_lines[begin - 1 : end - 1])
+                    counted, line = 0, begin
                     for a, b in windows(span, max_chars, overlap):
+                        line, counted = line + span.count("\n", counted, a), a
                         piece = span[a:b].strip()
                         if piece:
-                            out.append((key, n, begin + span.count("\n", 0, a), path, piece))
+                            out.append((key, n, line, path, piece))
                             n += 1
             yield pd.DataFrame(out, columns=["id", "chunk_index", "start_line", "heading_path", "chunk"])
 
