@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 from strataq.session import checkpointed, forget
 
 
-def neighbors(edges: DataFrame, start: str, depth: int, edge_types: list[str] | None = None, exclude_edge_types: list[str] | None = None) -> DataFrame:
-    """(node, depth): nodes reached over out-edges in at most depth (1 to 10) hops, with the least number of hops."""
+def neighbors(edges: DataFrame, start: str, depth: int, edge_types: list[str] | None = None, exclude_edge_types: list[str] | None = None, stored: bool = False) -> DataFrame:
+    """(node, depth): nodes reached over out-edges in at most depth (1 to 10) hops, with the least number of hops.
+
+    Edges that are computed are written once, as each hop reads them; stored ones (a table's) are read where they are.
+    """
     own = edges
     if edge_types:
         own = own.where(F.col("type").isin(*edge_types))
     if exclude_edge_types:
         own = own.where(~F.col("type").isin(*exclude_edge_types))
-    own = checkpointed(own.select("from_node", "to_node"))
+    own = own.select("from_node", "to_node") if stored else checkpointed(own.select("from_node", "to_node"))
     seen = edges.sparkSession.createDataFrame([(start, 0)], "node string, depth int")
     frontier = seen
     for hop in range(1, min(10, max(1, depth)) + 1):
@@ -32,9 +35,10 @@ def neighbors(edges: DataFrame, start: str, depth: int, edge_types: list[str] |
     return seen
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 8) -> list[str]:
+def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 8, stored: bool = False) -> list[str]:
     """Nodes of a shortest path over undirected edges; empty if there is none. Of equals, the one with least names."""
-    both = checkpointed(edges.select("from_node", "to_node").union(edges.select("to_node", "from_node")))
+    both = edges.select("from_node", "to_node").union(edges.select("to_node", "from_node"))
+    both = both if stored else checkpointed(both)
     spark = edges.sparkSession
     if source == target:
         return [source]
