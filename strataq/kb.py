@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strataq.corpus import used
 from strataq.operators import assembly, chunking, enrichment, fulltext, graph, incremental, memory, paths, policy
-from strataq.session import checkpointed, forget
+from strataq.session import checkpointed, forget, small
 
 #: Tables of the folder. Each is only ever appended to; what counts is what the log of artifacts points to.
 SCHEMAS = {
@@ -95,7 +95,7 @@ class KnowledgeBase:
             F.sha2(text, 256).alias("sha256"), F.sha2(F.concat_ws("\n", F.coalesce(acl, F.lit("")), text), 256).alias("digest"), F.octet_length(text).cast("long").alias("size_bytes"), acl.alias("acl"), text.alias("text"),
         )
         now = rows.groupBy("artifact_id", "source").agg(F.min("digest").alias("digest"))
-        before = self.artifacts().join(now.select("source").distinct(), "source", "left_semi")
+        before = self.artifacts().join(small(now.select("source").distinct()), "source", "left_semi")
         change = checkpointed(incremental.changes(before, now, "artifact_id", "digest").join(now.select("artifact_id", "digest"), "artifact_id", "left"))
         counts = {r["change"]: r["n"] for r in change.groupBy("change").agg(F.count("*").alias("n")).collect()}
         if counts.keys() - {"unchanged"}:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataq.session import ship_package
+from strataq.session import ship_package, small
 
 #: Share of a passage's score that a neighbour has, and neighbours of a passage.
 NEIGHBOUR_SHARE, PER_NODE = 0.4, 4
@@ -46,10 +46,10 @@ def expanded(passages: DataFrame, edges: DataFrame, nodes: DataFrame, types: lis
     """
     ship_package(passages.sparkSession)
     own = passages.where("node IS NOT NULL").groupBy("node").agg(F.min("rank").alias("rank"), F.max_by("score", -F.col("rank")).alias("score"))
-    n = own.count()
+    n, few = own.count(), small(own)
     to = nodes.where(F.col("type").isin(*types)).select(F.col("node_id").alias("to_node")).distinct()
-    near = edges.join(F.broadcast(own), F.col("from_node") == F.col("node")).select("rank", F.col("node").alias("via"), "score", "to_node").distinct()
-    fresh = near.join(to, "to_node", "left_semi").join(F.broadcast(own.select(F.col("node").alias("to_node"))), "to_node", "left_anti")
+    near = edges.join(few, F.col("from_node") == F.col("node")).select("rank", F.col("node").alias("via"), "score", "to_node").distinct()
+    fresh = near.join(to, "to_node", "left_semi").join(own.select(F.col("node").alias("to_node")), "to_node", "left_anti")
     offered = fresh.withColumn("n", F.row_number().over(W.partitionBy("via").orderBy("to_node"))).where(F.col("n") <= per_node * max(n, 1))
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,11 +102,11 @@ def documents(cited: DataFrame, artifacts: DataFrame, chunks: DataFrame, anchors
     ship_package(cited.sparkSession)
     first = cited.groupBy("artifact_id").agg(F.min("place").alias("place"))
     ending = F.lower(F.regexp_extract("relative_path", r"\.([^./]+)$", 1))
-    known = F.broadcast(first).join(artifacts.select(F.col("id").alias("artifact_id"), "relative_path", "size_bytes"), "artifact_id")
+    known = small(first).join(artifacts.select(F.col("id").alias("artifact_id"), "relative_path", "size_bytes"), "artifact_id")
     about = known.select("artifact_id", "place", ending.isin(*CODE).alias("code"), (F.coalesce("size_bytes", F.lit(0)) > LARGE_BYTES).alias("large"))
     block = F.concat(F.when(F.coalesce("label", F.lit("")) != "", F.concat(F.lit("--- "), "label", F.lit(" ---\n"))).otherwise(""), F.coalesce("text", F.lit("")))
-    hit = F.broadcast(anchors.select(F.col("chunk_id").alias("id"), F.lit(True).alias("hit")).distinct())
-    blocks = chunks.join(F.broadcast(about), "artifact_id").join(hit, "id", "left").select("artifact_id", "place", "code", "large", "chunk_index", block.alias("block"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    hit = small(anchors.select(F.col("chunk_id").alias("id"), F.lit(True).alias("hit")).distinct())
+    blocks = chunks.join(small(about), "artifact_id").join(hit, "id", "left").select("artifact_id", "place", "code", "large", "chunk_index", block.alias("block"), F.coalesce("hit", F.lit(False)).alias("hit"))
     sizes = blocks.groupBy("artifact_id", "place", "code", "large").agg(F.sort_array(F.collect_list(F.struct("chunk_index", F.length("block").alias("n"), "hit"))).alias("c"))
     lined = sizes.select("artifact_id", "place", "code", "large", F.col("c.chunk_index").alias("at"), F.col("c.n").alias("n"), F.col("c.hit").alias("hit"))
 

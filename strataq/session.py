@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 #: Rows that reach Python at once; texts may be long, so memory wants few.
@@ -98,3 +99,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows of a few files over all cores, before work that costs more than a shuffle of them; many files stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """The rows with a hint to broadcast them, if they are few when counted; else as they are, for a join that shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
