@@ -1,4 +1,4 @@
-"""Empty tables, null and repeated ids, and texts over several slices, through all ten operators and the pipeline."""
+"""Empty tables, null and repeated ids, and texts over several slices, through all operators and the pipeline."""
 
 import hashlib
 import random
@@ -17,7 +17,7 @@ def folder(spark, where, docs, labels, bench, vectors, pages):
     spark.createDataFrame(docs, DOCS).repartition(2).write.parquet(f"{where}/documents.parquet")
     spark.createDataFrame(labels, LABELS).write.parquet(f"{where}/labels.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
-    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{where}/embeddings.parquet")
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{where}/embeddings.parquet")
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{where}/pages.parquet")
     return str(where)
 
@@ -38,8 +38,8 @@ def test_all_queries_over_nulls_and_repeats(spark, tmp_path):
     text = "one two three four five six seven eight nine ten eleven"
     docs = [(None, text, None, None, None, None), (1, text, "en", "s", 1, 1), (1, text, "en", "s", 1, 1), (None, None, None, None, None, None), (2, None, "en", "s", 1, 1), (3, "", None, "s", 1, 1), (4, text + " other", "de", None, 1, 1)]
     labels = [(None, None, None), (1, 1, None), (1, 1, 0), (4, None, 1), (9, 1, 1)]
-    where = folder(spark, tmp_path, docs, labels, [(None, None), (1, text), (1, text)], [(None, [1.0]), (50, None), (50, [None]), (100, [1.0, 2.0]), (101, [1.0, 2.0])], [(None, None, None), (1, "http://a.com/en/x", None), (1, None, None)])
-    size = {"op2_topk_search": 1, "op5_url_filter": 3}
+    where = folder(spark, tmp_path, docs, labels, [(None, None), (1, text), (1, text)], [(None, [1.0], None), (50, None, 1), (50, [None], 1), (100, [1.0, 2.0], 1), (101, [1.0, 2.0], 1)], [(None, None, None), (1, "http://a.com/en/x", None), (1, None, None)])
+    size = {"op2_topk_search": 1, "op5_url_filter": 3, "op11_embedding_whitening": 5, "op12_vector_codes": 3, "op13_near_vectors": 5}
     for name, query in queries.queries().items():
         assert len(query(spark, where).collect()) == size.get(name, len(docs)), name
     assert len(cp.run(spark, where).collect()) <= len(docs)
