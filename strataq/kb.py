@@ -2,73 +2,90 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.corpus import used
-from strataq.operators import assembly, chunking, enrichment, fulltext, graph, incremental, memory, paths, policy
+from strataq.operators import assembly, chunking, enrichment, fulltext, graph, incremental, memory, paths, policy, search_index
 from strataq.session import checkpointed, forget, small
+from strataq.store import Conflict, Run, Store, Version
 
-#: Tables of the folder. Each is only ever appended to; what counts is what the log of artifacts points to.
+#: Tables of the folder; each row is of a run.
 SCHEMAS = {
-    "artifact_log": "artifact_id string, source string, relative_path string, sha256 string, digest string, size_bytes long, acl string, run string, version long, deleted boolean",
-    "chunk_log": "artifact_id string, run string, chunk_index int, start_line int, heading_path string, text string",
-    "heading_log": "artifact_id string, run string, line int, level int, title string, ordinal array<int>, parent int, path string",
-    "link_log": "artifact_id string, run string, target string",
+    "artifacts": "artifact_id string, source string, relative_path string, sha256 string, digest string, size_bytes long, acl string, deleted boolean",
+    "chunks": "artifact_id string, chunk_index int, start_line int, heading_path string, text string",
+    "headings": "artifact_id string, line int, level int, title string, ordinal array<int>, parent int, path string",
+    "links": "artifact_id string, target string",
+    "postings": search_index.POSTINGS,
+    "dictionary": search_index.DICTIONARY,
     "edges": "from_node string, to_node string, type string",
-    "memory_log": "record_id string, scope string, subject string, kind string, written_by string, text string, asserted_at string, valid_from string, valid_until string, supersedes string, uses long, observations long, tier string, last_seen string, last_used_at string",
+    "memory": "record_id string, scope string, subject string, kind string, written_by string, text string, asserted_at string, valid_from string, valid_until string, supersedes string, uses long, observations long, tier string, last_seen string, last_used_at string",
 }
 VIEWS = ("artifacts", "chunks", "headings", "links", "nodes", "edges", "memory_records")
+#: More sources than this in an ingest, and it counts as one of all sources.
+NAMED_SOURCES = 1000
+#: Hits whose chunks are read by a filter on their artifacts.
+FILTERED = 1000
+
+
+def _chunk_id() -> Column:
+    return F.concat("artifact_id", F.lit(":chunk="), F.lpad(F.col("chunk_index").cast("string"), 4, "0"))
+
+
+def _next(head: Version) -> int:
+    return max((r.order for r in head.runs), default=0) + 1
 
 
 class KnowledgeBase:
-    """Tables below one folder, which all executors can reach.
+    """Tables below one folder, which all executors can reach, in versions (see store).
 
-    An ingest appends what is new or changed, and nothing else: first chunks, headings and links, under a run of their
-    own, then the artifacts that point to that run. Until these are written nothing of a run is seen, so an ingest that
-    fails leaves the base as it was and can be done again. One ingest of a folder runs at a time.
+    An ingest writes what is new or changed and nothing else, as a run of its own: artifacts, chunks, headings, links, and
+    a segment of the search index with the terms of what it replaces taken back. Then it commits the run. Two ingests of
+    different sources both count; of two that overlap, the later one is done again on top of the first. Of an artifact's
+    rows those of its last run count, so all older ones are masked by the artifacts of later runs, which compact() makes
+    few. Every read is of one version.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _read(self, name: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], SCHEMAS[name])
-
-    def _append(self, name: str, rows: DataFrame) -> None:
-        rows.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns).write.mode("append").parquet(f"{self.folder}/{name}")
+        self.store = Store(spark, folder, SCHEMAS)
 
     def version(self) -> int:
-        """The number of the last ingest that changed anything."""
-        return self._read("artifact_log").agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+        """How many ingests have changed anything."""
+        return self.store.version().facts.get("ingests", 0)
 
     # Tables
 
-    def artifacts(self) -> DataFrame:
-        """Artifacts as they are now; the last version of each counts."""
-        log = self._read("artifact_log")
-        last = log.groupBy("artifact_id").agg(F.max_by(F.struct(*[c for c in log.columns if c != "artifact_id"]), "version").alias("a"))
-        return last.select("artifact_id", "a.*").where("NOT deleted").drop("deleted")
+    def _ordered(self, name: str, version: Version) -> DataFrame:
+        """Rows of a table with the order of their runs."""
+        orders = self.spark.createDataFrame([(r.name, r.order) for r in version.runs], "run string, order long")
+        return self.store.read(name, version).join(small(orders), "run")
+
+    def _unmasked(self, rows: DataFrame, version: Version) -> DataFrame:
+        """Rows (artifact_id, order, ...) whose artifact no later run has."""
+        first = min((r.order for r in version.runs if r.facts.get("n_artifacts")), default=0)
+        if not any(r.order > first and r.facts.get("n_artifacts") for r in version.runs):
+            return rows.drop("order")
+        later = self._ordered("artifacts", version).where(F.col("order") > first).groupBy("artifact_id").agg(F.max("order").alias("until"))
+        mask = small(later.withColumnRenamed("artifact_id", "masked"))
+        return rows.join(mask, (F.col("artifact_id") == F.col("masked")) & (F.col("until") > F.col("order")), "left_anti").drop("order")
 
-    def _live(self, name: str) -> DataFrame:
-        return self._read(name).join(self.artifacts().select("artifact_id", "run"), ["artifact_id", "run"], "left_semi")
+    def _live(self, name: str, version: Version | None = None) -> DataFrame:
+        version = version or self.store.version()
+        return self._unmasked(self._ordered(name, version), version)
 
-    def chunks(self) -> DataFrame:
-        return self._live("chunk_log").withColumn("chunk_id", F.concat("artifact_id", F.lit(":chunk="), F.lpad(F.col("chunk_index").cast("string"), 4, "0")))
+    def artifacts(self, version: Version | None = None) -> DataFrame:
+        """Artifacts as they are now."""
+        return self._live("artifacts", version).where("NOT deleted").drop("deleted")
+
+    def chunks(self, version: Version | None = None) -> DataFrame:
+        return self._live("chunks", version).withColumn("chunk_id", _chunk_id())
 
     def headings(self) -> DataFrame:
-        return self._live("heading_log").drop("run")
+        return self._live("headings").drop("run")
 
     def links(self) -> DataFrame:
-        return self._live("link_log").drop("run")
+        return self._live("links").drop("run")
 
     def table(self, name: str) -> DataFrame:
         return {"artifacts": self.artifacts, "chunks": self.chunks, "headings": self.headings, "links": self.links, "nodes": self.nodes, "edges": self.edges, "memory_records": self.memory_records}[name]()
@@ -94,43 +111,131 @@ class KnowledgeBase:
             F.concat_ws(":", F.lit("file"), "source", "path").alias("artifact_id"), F.col("source").cast("string").alias("source"), F.col("path").alias("relative_path"),
             F.sha2(text, 256).alias("sha256"), F.sha2(F.concat_ws("\n", F.coalesce(acl, F.lit("")), text), 256).alias("digest"), F.octet_length(text).cast("long").alias("size_bytes"), acl.alias("acl"), text.alias("text"),
         )
+        while True:
+            try:
+                return self._ingest(rows)
+            except Conflict:
+                continue
+
+    def _ingest(self, rows: DataFrame) -> DataFrame:
+        base = self.store.version()
         now = rows.groupBy("artifact_id", "source").agg(F.min("digest").alias("digest"))
-        before = self.artifacts().join(small(now.select("source").distinct()), "source", "left_semi")
+        named = now.select("source").distinct()
+        before = self.artifacts(base).join(small(named), "source", "left_semi")
         change = checkpointed(incremental.changes(before, now, "artifact_id", "digest").join(now.select("artifact_id", "digest"), "artifact_id", "left"))
         counts = {r["change"]: r["n"] for r in change.groupBy("change").agg(F.count("*").alias("n")).collect()}
         if counts.keys() - {"unchanged"}:
-            self._write(rows, before, change)
+            sources = [r["source"] for r in named.limit(NAMED_SOURCES + 1).collect()]
+            run = self.store.lease()
+            try:
+                self._write(rows, before, change, base, run, [f"source:{s}" for s in sources] if len(sources) <= NAMED_SOURCES else [])
+            finally:
+                self.store.release(run)
         forget(change)
         return self.spark.createDataFrame(sorted(counts.items()), "change string, n long")
 
-    def _write(self, rows: DataFrame, before: DataFrame, change: DataFrame) -> None:
-        run, version = uuid.uuid4().hex, self.version() + 1
+    def _write(self, rows: DataFrame, before: DataFrame, change: DataFrame, base: Version, run: str, keys: list[str]) -> None:
         touched = change.where("change IN ('added', 'changed')").select("artifact_id", "digest")
         fresh = checkpointed(rows.join(touched, ["artifact_id", "digest"], "left_semi").dropDuplicates(["artifact_id"]))
         key = fresh.select("artifact_id", "text")
-        of_run = F.lit(run).alias("run")
-        self._append("chunk_log", chunking.section_chunks(key, "artifact_id").select("artifact_id", of_run, "chunk_index", "start_line", "heading_path", F.col("chunk").alias("text")))
-        self._append("heading_log", chunking.outline(key, "artifact_id").select("*", of_run))
-        self._append("link_log", key.select("artifact_id", F.explode(enrichment.link_targets(F.col("text"))).alias("target"), of_run))
-        added = fresh.drop("text").withColumn("deleted", F.lit(False))
-        gone = before.join(change.where("change = 'deleted'").select("artifact_id"), "artifact_id", "left_semi").drop("run", "version").withColumn("deleted", F.lit(True))
-        self._append("artifact_log", added.unionByName(gone).withColumn("run", F.lit(run)).withColumn("version", F.lit(version).cast("long")))
+        cut = chunking.section_chunks(key, "artifact_id").select("artifact_id", "chunk_index", "start_line", "heading_path", F.col("chunk").alias("text"))
+        self.store.write("chunks", run, cut.repartitionByRange("artifact_id", "chunk_index").sortWithinPartitions("artifact_id", "chunk_index"))
+        self.store.write("headings", run, chunking.outline(key, "artifact_id"))
+        self.store.write("links", run, key.select("artifact_id", F.explode(enrichment.link_targets(F.col("text"))).alias("target")))
+        gone = before.join(change.where("change = 'deleted'").select("artifact_id"), "artifact_id", "left_semi").withColumn("deleted", F.lit(True))
+        added = fresh.withColumn("deleted", F.lit(False))
+        columns = self.spark.createDataFrame([], SCHEMAS["artifacts"]).columns
+        self.store.write("artifacts", run, added.select(*columns).unionByName(gone.select(*columns)))
+
+        mine = Version(0, [Run(run, 0)])
+        docs = self._searchable(self.store.read("chunks", mine), fresh)
+        old = before.join(change.where("change IN ('changed', 'deleted')").select("artifact_id"), "artifact_id", "left_semi")
+        taken = checkpointed(self._searchable(self.chunks(base).join(small(old.select("artifact_id")), "artifact_id", "left_semi"), old))
+        self.store.write("postings", run, search_index.postings(docs))
+        words = search_index.dictionary(self.store.read("postings", mine)).unionByName(search_index.taken_back(taken))
+        self.store.write("dictionary", run, words.repartitionByRange("term").sortWithinPartitions("term"))
+        size, less = search_index.measure(docs), search_index.measure(taken)
+        facts = {"n": size["n"] - less["n"], "length": size["length"] - less["length"], "n_artifacts": True}
         forget(fresh)
+        forget(taken)
+
+        def add(head: Version) -> Version:
+            return Version(0, [*head.runs, Run(run, _next(head), keys, facts)], head.facts | {"ingests": head.facts.get("ingests", 0) + 1})
+
+        self.store.commit(base, add, keys)
+
+    # Upkeep
+
+    def compact(self) -> bool:
+        """Puts the rows that count into one run; False if another writer replaced the same runs meanwhile."""
+        base = self.store.version()
+        runs = [r for r in base.runs if not r.facts.get("graph")]
+        if len(runs) < 2:
+            return True
+        run = self.store.lease()
+        try:
+            for name in ("artifacts", "chunks", "headings", "links", "postings"):
+                live = self._live(name, base).drop("run")
+                order = {"postings": ["term", "id"], "chunks": ["artifact_id", "chunk_index"]}.get(name)
+                live = live.where("NOT deleted") if name == "artifacts" else live
+                self.store.write(name, run, live.repartitionByRange(*order).sortWithinPartitions(*order) if order else live)
+            mine = Version(0, [Run(run, 0)])
+            self.store.write("dictionary", run, search_index.dictionary(self.store.read("postings", mine)).repartitionByRange("term").sortWithinPartitions("term"))
+            self.store.write("memory", run, self.store.read("memory", base).drop("run"))
+            facts = {"n_artifacts": True} | {f: sum(r.facts.get(f, 0) for r in runs) for f in ("n", "length")}
+            replaced = {r.name for r in runs}
+
+            def swap(head: Version) -> Version:
+                if replaced - {r.name for r in head.runs}:
+                    raise Conflict("runs were replaced")
+                whole = Run(run, max(r.order for r in runs), ["compact"], facts)
+                return Version(0, [whole, *(r for r in head.runs if r.name not in replaced)], head.facts)
+
+            # Runs that came meanwhile stay on top of it, whatever they touch.
+            self.store.commit(self.store.version(), swap, ["compact"])
+            return True
+        except Conflict:
+            return False
+        finally:
+            self.store.release(run)
 
     # Search
 
-    def searchable(self, identities: list[str] | None = None, default_public: bool = True) -> DataFrame:
-        """Chunks that a caller may see, before any of them is ranked."""
-        seen = self.artifacts().where(policy.visible(identities, default_public)).select("artifact_id", "relative_path")
-        rows = self.chunks().join(seen, "artifact_id")
-        return rows.select(F.col("chunk_id").alias("id"), F.element_at(F.split("relative_path", "/"), -1).alias("title"), F.col("relative_path").alias("path"), F.col("heading_path").alias("heading"), F.col("text").alias("body"), "artifact_id")
+    def _searchable(self, chunks: DataFrame, artifacts: DataFrame) -> DataFrame:
+        about = artifacts.select("artifact_id", "relative_path", "source", "acl")
+        rows = chunks.join(about, "artifact_id")
+        return rows.select(
+            _chunk_id().alias("id"), "artifact_id", "source", "acl", F.element_at(F.split("relative_path", "/"), -1).alias("title"), F.col("relative_path").alias("path"),
+            F.col("heading_path").alias("heading"), F.col("text").alias("body"),
+        )
+
+    def answers(self, questions: DataFrame, k: int = 10, identities: list[str] | None = None, default_public: bool = True, sources: list[str] | None = None, section: str | None = None) -> DataFrame:
+        """(question, rank, chunk_id, artifact_id, score) for a table of questions (question, terms), from the index alone.
 
-    def search(self, query: str, k: int = 10, identities: list[str] | None = None, default_public: bool = True) -> DataFrame:
+        What the caller may not see, or did not ask for, is left out before anything is ranked; the statistics behind the
+        scores are those of the whole base, so a chunk's score is the same for every caller.
+        """
+        version = self.store.version()
+        of = self._live("postings", version)
+        of = of.where(policy.visible(identities, default_public))
+        if sources is not None:
+            of = of.where(F.col("source").isin(*sources))
+        if section and section.strip():
+            of = of.where(F.contains(F.lower(F.coalesce("heading", F.lit(""))), F.lit(section.strip().lower())))
+        size = {f: sum(r.facts.get(f, 0) for r in version.runs) for f in ("n", "length")}
+        found = search_index.best(of, self.store.read("dictionary", version), size["n"], size["length"], questions, k)
+        return found.select("question", "rank", F.col("id").alias("chunk_id"), F.regexp_replace("id", ":chunk=[0-9]+$", "").alias("artifact_id"), "score")
+
+    def search(self, query: str, k: int = 10, identities: list[str] | None = None, default_public: bool = True, sources: list[str] | None = None, section: str | None = None) -> DataFrame:
         """(rank, chunk_id, artifact_id, path, heading, score, snippet): the k best chunks that the caller may see."""
-        docs = self.searchable(identities, default_public)
-        found = fulltext.bm25(docs.drop("artifact_id"), fulltext.query_tokens(query) or [query.lower()], k)
-        rows = docs.select("id", "artifact_id", "heading", "body").join(F.broadcast(found), "id")
-        return rows.select("rank", F.col("id").alias("chunk_id"), "artifact_id", "path", "heading", "score", assembly.extract(F.col("body")).alias("snippet")).orderBy("rank")
+        asked = self.spark.createDataFrame([("", fulltext.query_tokens(query) or [query.lower()])], "question string, terms array<string>")
+        rows = self.answers(asked, k, identities, default_public, sources, section).select("rank", "chunk_id", "artifact_id", "score").collect()
+        found = F.broadcast(self.spark.createDataFrame(rows, "rank int, chunk_id string, artifact_id string, score double"))
+        version, names = self.store.version(), sorted({r["artifact_id"] for r in rows})
+        only = F.col("artifact_id").isin(*names) if len(names) <= FILTERED else F.lit(True)
+        texts = self.chunks(version).where(only).drop("run", "artifact_id").join(found, "chunk_id")
+        about = self.artifacts(version).where(only).select("artifact_id", F.col("relative_path").alias("path"))
+        return texts.join(about, "artifact_id").select("rank", "chunk_id", "artifact_id", "path", F.col("heading_path").alias("heading"), "score", assembly.extract(F.col("text")).alias("snippet")).orderBy("rank")
 
     def context(self, query: str, k: int = 10, identities: list[str] | None = None, default_public: bool = True) -> DataFrame:
         """(place, artifact_id, n_chunks, included, text): documents of the best chunks, put together within a budget."""
@@ -159,11 +264,20 @@ class KnowledgeBase:
         return held.unionByName(heads).unionByName(linked.where("from_node <> to_node").distinct())
 
     def build_graph(self) -> None:
-        """Writes the edges of the base as it is now; edges() and walks read what was written last."""
-        self._edges().write.mode("overwrite").parquet(f"{self.folder}/edges")
+        """Writes the edges of the base as it is now, sorted, and then points to them; walks read what was written last."""
+        run = self.store.lease()
+        try:
+            self.store.write("edges", run, self._edges().repartitionByRange("from_node", "to_node").sortWithinPartitions("from_node"))
+
+            def swap(head: Version) -> Version:
+                return Version(0, [*(r for r in head.runs if not r.facts.get("graph")), Run(run, _next(head), ["graph"], {"graph": True})], head.facts)
+
+            self.store.commit(self.store.version(), swap, ["graph"])
+        finally:
+            self.store.release(run)
 
     def edges(self) -> DataFrame:
-        return self._read("edges")
+        return self.store.read("edges").drop("run")
 
     def neighbors(self, node: str, depth: int = 1, edge_types: list[str] | None = None) -> DataFrame:
         return graph.neighbors(self.edges(), node, depth, edge_types, stored=True)
@@ -177,14 +291,20 @@ class KnowledgeBase:
     # Memory
 
     def remember(self, records: DataFrame) -> None:
-        """Appends records; columns that they lack are null, columns that memory lacks are left out."""
-        known = self.spark.createDataFrame([], SCHEMAS["memory_log"])
+        """Adds records; columns that they lack are null, columns that memory lacks are left out."""
+        known = self.spark.createDataFrame([], SCHEMAS["memory"])
         given = records.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in records.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in known.schema])
-        self._append("memory_log", given.where("record_id IS NOT NULL"))
+        run = self.store.lease()
+        try:
+            self.store.write("memory", run, given.where("record_id IS NOT NULL"))
+            own = [f"memory:{run}"]
+            self.store.commit(self.store.version(), lambda head: Version(0, [*head.runs, Run(run, _next(head), own)], head.facts), own)
+        finally:
+            self.store.release(run)
 
     def memory_records(self) -> DataFrame:
         """Records, of those that say the same the first asserted; a record written again counts as it was last asserted."""
-        log = self._read("memory_log")
+        log = self.store.read("memory").drop("run")
         last = log.groupBy("record_id").agg(F.max_by(F.struct(*log.columns), F.struct(F.coalesce("asserted_at", F.lit("")), F.coalesce("text", F.lit("")))).alias("m")).select("m.*")
         kept = enrichment.folded(last).select(F.col("kept_id").alias("record_id")).distinct()
         return last.join(kept, "record_id", "left_semi")

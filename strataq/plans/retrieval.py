@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.corpus import duck_sql, raw, view
-from strataq.operators import chunking, enrichment, fulltext, fusion, graph, incremental, memory, policy, vectors
+from strataq.operators import chunking, enrichment, fulltext, fusion, graph, incremental, memory, policy, search_index, vectors
 from strataq.session import shared_dir
 from strataq.streaming import events as streams
 
@@ -57,6 +57,27 @@ def tx4_bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.search_index(spark, where, QUERY_TERMS, 10)
 
 
+def tx4_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best documents for the text of every turn of users, from one index."""
+    docs = searchable(spark, sf_dir).select(F.lpad(F.col("id").cast("string"), 12, "0").alias("id"), F.lit("").alias("artifact_id"), F.lit("").alias("source"), F.lit(None).cast("string").alias("acl"), "title", "path", "heading", "body")
+    asked = raw(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("question"), "text")
+    return search_index.answer(docs, asked, 5).select("question", "rank", F.col("id").cast("long").alias("id"), "score")
+
+
+def _questions_sql() -> str:
+    """Every question joined with all postings of its terms."""
+    stop = ", ".join(f"'{w}'" for w in sorted(fulltext.STOPWORDS))
+    tokens = " UNION ALL ".join(f"SELECT id, path, {w} AS w, unnest(list_filter(string_split({_TOKENS % c}, ' '), lambda t: t <> '')) AS term FROM d" for c, w in fulltext.WEIGHTS.items())
+    return rf"""WITH d AS ({_SEARCHABLE}), t AS MATERIALIZED ({tokens}), l AS (SELECT id, path, count(*) AS dl FROM t GROUP BY id, path),
+        p AS MATERIALIZED (SELECT term, id, CAST(sum(w) AS DOUBLE) AS f FROM t GROUP BY term, id), n AS (SELECT term, count(*) AS df FROM p GROUP BY term), s AS (SELECT (SELECT count(*) FROM d) AS n, (SELECT count(*) FROM t) / CAST((SELECT count(*) FROM d) AS DOUBLE) AS avgdl),
+        w AS (SELECT conv_id || '-' || turn AS question, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_]+')) AS word FROM conversations WHERE role = 'user'),
+        q AS (SELECT DISTINCT question, lower(unnest(list_concat([word], list_filter(string_split(regexp_replace(word, '([a-z0-9])([A-Z])', ' ', 'g'), ' '), lambda x: length(x) > 1)))) AS term FROM w),
+        c AS (SELECT question, term FROM q WHERE term NOT IN ({stop}) UNION ALL SELECT question, term FROM q WHERE question NOT IN (SELECT question FROM q WHERE term NOT IN ({stop}))),
+        r AS (SELECT question, p.id, path, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS part FROM c JOIN p USING (term) JOIN n USING (term) JOIN l ON l.id = p.id CROSS JOIN s),
+        g AS (SELECT question, id, round(-sum(part / {_PRIOR}), 6) AS score FROM r GROUP BY question, id),
+        k AS (SELECT question, CAST(row_number() OVER (PARTITION BY question ORDER BY score, id) AS INTEGER) AS rank, id, score FROM g) SELECT question, rank, id, score FROM k WHERE rank <= 5"""
+
+
 def tx3_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = fulltext.wide_text(fulltext.tokens_text(F.col("text")))
     return raw(spark, sf_dir, "documents").select("doc_id", fulltext.occurrences(text, "of_the").alias("n")).where("n > 0")
@@ -356,6 +377,7 @@ def dx8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "tx4_bm25": bm25_sql(QUERY_TERMS, 10),
     "tx4_bm25_index": bm25_sql(QUERY_TERMS, 10),
+    "tx4_questions": _questions_sql(),
     "tx3_phrase": rf"WITH t AS (SELECT doc_id, ' ' || replace({_TOKENS % 'text'}, ' ', '  ') || ' ' AS w FROM documents) SELECT doc_id, CAST((length(w) - length(replace(w, ' of  the ', ''))) / 9 AS BIGINT) AS n FROM t WHERE w LIKE '% of  the %'",
     "tx2_tokenize": f"SELECT token, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(string_split({_TOKENS % 'text'}, ' '))) AS token FROM documents) t GROUP BY token HAVING count(*) >= 5",
     "tx1_query_tokens": "SELECT unnest(['call', 'config', 'engine', 'httpserver', 'parse', 'parseconfig', 'sync', 'sync_engine']) AS token",
