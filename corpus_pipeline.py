@@ -2,7 +2,10 @@
 
 Toxic documents go; of near duplicates the one with the least id stays; byte spans that repeat are cut out of texts;
 documents that hold benchmark passages go; the rest is encoded and decoded. Every function takes (spark, docs, sf_dir);
-all stages but the last return the columns of docs.
+all stages but the last return the columns of docs, whatever their names.
+
+Null and empty texts are in no group, hold no passages and have no bytes to remove, so they stay; so do rows without an id,
+in every stage. Of rows that share an id, equal or similar ones are reduced to one. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -35,11 +38,11 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         kept = own.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
     else:
         # Rows are known by id and place among those of the id, in the order of their texts.
-        place = F.row_number().over(W.partitionBy("doc_id").orderBy("text", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-        keyed = own.withColumn("__place", place).withColumn("__key", F.xxhash64("doc_id", "__place"))
+        place = F.row_number().over(W.partitionBy("doc_id").orderBy("text", F.xxhash64("__row")))
+        keyed = _packed(own).select("doc_id", "text", "__row").withColumn("__place", place).withColumn("__key", F.xxhash64("doc_id", "__place"))
         found = ngram_join.jaccard_components(keyed.select("__key", "text"), "__key")
         least = keyed.select("__key", "doc_id", "__place").join(found, "__key").groupBy("component_id").agg(F.min(F.struct("doc_id", "__place", "__key")).alias("first"))
-        kept = keyed.join(least.select(F.col("first.__key").alias("__key")), "__key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+        kept = keyed.join(least.select(F.col("first.__key").alias("__key")), "__key", "left_semi").select("__row.*")
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 

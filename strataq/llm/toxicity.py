@@ -145,7 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lot = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = own.where(lot < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))  # about 2 * FIT_ROWS rows at most
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("text IS NOT NULL")
-    sample = texts.join(F.broadcast(chosen), "id").select("y", "text")
+    # One text of each id, so that rows that share an id don't outgrow the sample's bound.
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text")).select("y", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, SLOTS), np.int32)

@@ -42,3 +42,25 @@ def test_join_stage_keeps_different_texts_of_one_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = sorted(((r["doc_id"] or 0, r["text"]) for r in cp.ngram_join_stage(spark, docs, "").collect()))
     assert found == [(0, first), (1, first), (2, second), (3, ""), (3, ""), (4, third)]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline as cp
+
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, "mine", 5, "r"), (1, text + " x", "mine", 6, "r"), (2, "other", None, None, None)], "doc_id long, text string, __key string, __place int, __row string")
+    found = cp.ngram_join_stage(spark, docs, "")
+    assert found.columns == docs.columns
+    assert sorted(map(tuple, found.collect())) == [(1, text, "mine", 5, "r"), (2, "other", None, None, None)]
+
+
+def test_a_repeated_id_does_not_enlarge_the_sample(spark, monkeypatch):
+    """Two ids of a hundred rows each: the classifier is fitted on one text of each."""
+    from strataq.llm import toxicity
+
+    seen = []
+    train = toxicity._train
+    monkeypatch.setattr(toxicity, "_train", lambda rows, *a: seen.append(len(rows)) or train(rows, *a))
+    docs = spark.createDataFrame([(i % 2, f"text {i} " + ("idiot" if i % 2 else "friend")) for i in range(200)], "doc_id long, text string").repartition(4)
+    toxicity.fit(docs, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int"))
+    assert seen == [2]
