@@ -11,6 +11,7 @@ from strataq.corpus import duck_sql, raw, view
 from strataq.operators import chunking, enrichment, fulltext, fusion, graph, incremental, memory, policy, search_index, vectors
 from strataq.session import shared_dir
 from strataq.streaming import events as streams
+from strataq.streaming import tasks
 
 NOW = "2024-12-31T00:00:00Z"
 QUERY_TERMS = ["content", "tion", "the", "und"]
@@ -324,6 +325,38 @@ def st7_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.queue_state(rows, "2024-01-30 12:00:00")
 
 
+def st1_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a stream, in batches that end after a quiet day or three days; those that are due."""
+    rows = streams.source(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.lit("x").alias("op"))
+    found = streams.drain(tasks.streamed(rows, tasks.Debounce(86400, 3 * 86400), streams.WATERMARK), "append")
+    return found.select(F.col("key").cast("long").alias("user_id"), F.col("since").alias("first_us"), F.col("at").alias("due_us"), "n")
+
+
+_BATCHES_SQL = """WITH RECURSIVE u AS (SELECT (epoch_ms(max(ts)) - 3600000) * 1000 AS until FROM events), e AS MATERIALIZED (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS r FROM events, u WHERE epoch_us(ts) <= until),
+    w AS (SELECT user_id, r, us AS first, us AS last, CAST(1 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS first_us, CAST(NULL AS BIGINT) AS due_us, CAST(NULL AS BIGINT) AS closed FROM e WHERE r = 1
+        UNION ALL SELECT user_id, r, CASE WHEN us >= due THEN us ELSE first END, us, CASE WHEN us >= due THEN 1 ELSE n + 1 END, CASE WHEN us >= due THEN first END, CASE WHEN us >= due THEN due END, CASE WHEN us >= due THEN n END
+            FROM (SELECT w.user_id, e.r, e.us, w.first, w.n, least(w.last + 86400000000, w.first + 3 * 86400000000) AS due FROM w JOIN e ON e.user_id = w.user_id AND e.r = w.r + 1) s),
+    z AS (SELECT user_id, first, least(last + 86400000000, first + 3 * 86400000000) AS due, n FROM w QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY r DESC) = 1)
+    SELECT user_id, first_us, due_us, closed AS n FROM w WHERE due_us IS NOT NULL UNION ALL SELECT user_id, first, due, n FROM z, u WHERE due <= until"""
+
+
+def st7_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue as a stream: what each user's task has come to, by the last of its changes that the watermark has passed."""
+    rows = streams.source(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("ts").alias("at"), _queue_op().alias("op"))
+    found = streams.drain(tasks.streamed(rows, tasks.Queue(visibility=86400, retry=3600), streams.WATERMARK), "append")
+    return found.groupBy("key").agg(F.count("*").alias("changes"), F.count_if(F.col("what") == "inflight").alias("claims"), F.max("at").alias("at"))
+
+
+def _queue_op():
+    return F.element_at(F.array(*[F.lit(x) for x in ("publish", "claim", "heartbeat", "nack", "ack")]), (F.col("event_id") % 5 + 1).cast("int"))
+
+
+_QUEUE_SQL = """WITH e AS (SELECT 'idx-' || user_id AS id, (['publish', 'claim', 'heartbeat', 'nack', 'ack'])[event_id % 5 + 1] AS op, event_id % 5 AS o, ts FROM events),
+    l AS (SELECT id, arg_max(op, epoch_us(ts) * 8 + o) AS op, max(ts) AS seen, max(ts) FILTER (WHERE op = 'ack') AS acked, max(ts) FILTER (WHERE op = 'publish') AS published FROM e GROUP BY id),
+    c AS (SELECT l.*, (SELECT count(*) FROM e WHERE e.id = l.id AND e.op = 'claim' AND (l.acked IS NULL OR e.ts > l.acked)) AS attempts FROM l)
+    SELECT id, CASE WHEN acked IS NOT NULL AND published <= acked AND attempts = 0 THEN 'done' WHEN op IN ('claim', 'heartbeat') AND epoch(TIMESTAMP '2024-01-30 12:00:00') - floor(epoch(seen)) <= 300 THEN 'running' WHEN attempts >= 3 THEN 'dead' ELSE 'pending' END AS status, attempts FROM c"""
+
+
 def w14_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.sessions(raw(spark, sf_dir, "events"), "user_id", "ts", 86400.0).select("user_id", "session", "n")
 
@@ -407,6 +440,8 @@ SQL = {
     "tg9_gap_audit": _GAP_SQL,
     "fp15_changes": duck_sql(_CHANGES_SQL),
     "w14_sessions": _SESSIONS_SQL,
+    "st1_batches": _BATCHES_SQL,
+    "st7_queue": _QUEUE_SQL,
     "st_tumbling": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY date_trunc('hour', ts), event_type",
     "st_sliding": "SELECT window_start, count(*) AS n FROM (SELECT time_bucket(INTERVAL 15 MINUTES, ts) - INTERVAL (15 * i) MINUTES AS window_start FROM events CROSS JOIN generate_series(0, 3) g(i)) t GROUP BY window_start",
     "st_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS fresh FROM events),
