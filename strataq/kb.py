@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from strataq.corpus import used
 from strataq.operators import assembly, chunking, enrichment, fulltext, graph, incremental, memory, paths, policy, search_index
 from strataq.session import checkpointed, forget, small
+from strataq.sources import walk
+from strataq.sources.connectors import BudgetExceeded
 from strataq.store import Conflict, Run, Store, Version
 
 #: Tables of the folder; each row is of a run.
 SCHEMAS = {
-    "artifacts": "artifact_id string, source string, relative_path string, sha256 string, digest string, size_bytes long, acl string, deleted boolean",
+    "artifacts": "artifact_id string, source string, relative_path string, sha256 string, digest string, size_bytes long, acl string, stamp string, deleted boolean",
     "chunks": "artifact_id string, chunk_index int, start_line int, heading_path string, text string",
     "headings": "artifact_id string, line int, level int, title string, ordinal array<int>, parent int, path string",
     "links": "artifact_id string, target string",
@@ -32,6 +34,16 @@ def _chunk_id() -> Column:
     return F.concat("artifact_id", F.lit(":chunk="), F.lpad(F.col("chunk_index").cast("string"), 4, "0"))
 
 
+def _rows(docs: DataFrame, acl: Column, stamp: Column) -> DataFrame:
+    """Artifacts of docs (source, path, text), with their texts."""
+    text, rights = F.coalesce("text", F.lit("")), acl.cast("string")
+    return docs.select(
+        F.concat_ws(":", F.lit("file"), "source", "path").alias("artifact_id"), F.col("source").cast("string").alias("source"), F.col("path").alias("relative_path"),
+        F.sha2(text, 256).alias("sha256"), F.sha2(F.concat_ws("\n", F.coalesce(rights, F.lit("")), text), 256).alias("digest"), F.octet_length(text).cast("long").alias("size_bytes"),
+        rights.alias("acl"), stamp.cast("string").alias("stamp"), text.alias("text"),
+    )
+
+
 def _next(head: Version) -> int:
     return max((r.order for r in head.runs), default=0) + 1
 
@@ -105,38 +117,68 @@ class KnowledgeBase:
         Rows without source or path are left out, a null text is empty, and of rows with one path the one with the least
         digest counts. Only changed texts are cut into chunks; columns of other names are ignored.
         """
-        acl = F.col("acl") if "acl" in docs.columns else F.lit(None).cast("string")
-        text = F.coalesce("text", F.lit(""))
-        rows = docs.where("source IS NOT NULL AND path IS NOT NULL").select(
-            F.concat_ws(":", F.lit("file"), "source", "path").alias("artifact_id"), F.col("source").cast("string").alias("source"), F.col("path").alias("relative_path"),
-            F.sha2(text, 256).alias("sha256"), F.sha2(F.concat_ws("\n", F.coalesce(acl, F.lit("")), text), 256).alias("digest"), F.octet_length(text).cast("long").alias("size_bytes"), acl.alias("acl"), text.alias("text"),
-        )
+        acl = F.col("acl") if "acl" in docs.columns else F.lit(None)
+        rows = _rows(docs.where("source IS NOT NULL AND path IS NOT NULL"), acl, F.lit(None))
         while True:
             try:
                 return self._ingest(rows)
             except Conflict:
                 continue
 
+    def sync(self, source: str, folder: str, acl: str | None = None, **limits) -> DataFrame:
+        """(change, n): the files of a folder become the whole of a source; limits are those of walk.walk.
+
+        Files whose size and time are as they were aren't read, and if none has changed nothing is written. A walk that a
+        limit has stopped raises BudgetExceeded before any file is read.
+        """
+        while True:
+            files, report = walk.walk(self.spark, folder, **limits)
+            try:
+                if report["limit"]:
+                    raise BudgetExceeded(f"{report['limit']}: {report.get('file', 0)} files of {report['bytes']} bytes, {report['entries']} entries")
+                return self._sync(source, files, acl)
+            except Conflict:
+                continue
+            finally:
+                forget(files)
+
+    def _sync(self, source: str, files: DataFrame, acl: str | None) -> DataFrame:
+        base = self.store.version()
+        stamp = F.concat_ws(":", "size_bytes", "mtime", F.lit(acl))
+        now = files.select("*", F.concat(F.lit(f"file:{source}:"), "relative_path").alias("artifact_id"), stamp.alias("stamp"))
+        before = self.artifacts(base).where(F.col("source") == source)
+        change = checkpointed(incremental.changes(before, now, "artifact_id", "stamp"))
+        touched = now.join(change.where("change IN ('added', 'changed')").select("artifact_id"), "artifact_id", "left_semi")
+        docs = walk.texts(touched).join(touched.select("relative_path", "stamp"), "relative_path").select(F.lit(source).alias("source"), F.col("relative_path").alias("path"), "text", "stamp")
+        counts = self._change(_rows(docs, F.lit(acl), F.col("stamp")), before, change, base, [f"source:{source}"])
+        forget(change)
+        return counts
+
     def _ingest(self, rows: DataFrame) -> DataFrame:
         base = self.store.version()
         now = rows.groupBy("artifact_id", "source").agg(F.min("digest").alias("digest"))
         named = now.select("source").distinct()
         before = self.artifacts(base).join(small(named), "source", "left_semi")
         change = checkpointed(incremental.changes(before, now, "artifact_id", "digest").join(now.select("artifact_id", "digest"), "artifact_id", "left"))
+        sources = [r["source"] for r in named.limit(NAMED_SOURCES + 1).collect()]
+        counts = self._change(rows, before, change, base, [f"source:{s}" for s in sources] if len(sources) <= NAMED_SOURCES else [])
+        forget(change)
+        return counts
+
+    def _change(self, rows: DataFrame, before: DataFrame, change: DataFrame, base: Version, keys: list[str]) -> DataFrame:
         counts = {r["change"]: r["n"] for r in change.groupBy("change").agg(F.count("*").alias("n")).collect()}
         if counts.keys() - {"unchanged"}:
-            sources = [r["source"] for r in named.limit(NAMED_SOURCES + 1).collect()]
             run = self.store.lease()
             try:
-                self._write(rows, before, change, base, run, [f"source:{s}" for s in sources] if len(sources) <= NAMED_SOURCES else [])
+                self._write(rows, before, change, base, run, keys)
             finally:
                 self.store.release(run)
-        forget(change)
         return self.spark.createDataFrame(sorted(counts.items()), "change string, n long")
 
     def _write(self, rows: DataFrame, before: DataFrame, change: DataFrame, base: Version, run: str, keys: list[str]) -> None:
-        touched = change.where("change IN ('added', 'changed')").select("artifact_id", "digest")
-        fresh = checkpointed(rows.join(touched, ["artifact_id", "digest"], "left_semi").dropDuplicates(["artifact_id"]))
+        touched = change.where("change IN ('added', 'changed')")
+        on = [c for c in ("artifact_id", "digest") if c in touched.columns]
+        fresh = checkpointed(rows.join(touched.select(*on), on, "left_semi").dropDuplicates(["artifact_id"]))
         key = fresh.select("artifact_id", "text")
         cut = chunking.section_chunks(key, "artifact_id").select("artifact_id", "chunk_index", "start_line", "heading_path", F.col("chunk").alias("text"))
         self.store.write("chunks", run, cut.repartitionByRange("artifact_id", "chunk_index").sortWithinPartitions("artifact_id", "chunk_index"))

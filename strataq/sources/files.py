@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Files that are never read.
-SECRET_PATTERNS = r"(^|/)(\.env|id_rsa|\.git/|\.ssh/)|\.(pem|key|p12)$"
+from strataq.operators import paths
 
 
 def scan(spark: SparkSession, root: str, include: str = "*", max_depth: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """(relative_path, size_bytes, mtime, content) of a folder's files; pruning comes before contents are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", include).load(root)
     relative = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^.*" + root.rstrip("/").replace("file://", "").replace(".", r"\.") + "/", "")
-    rows = files.withColumn("relative_path", relative).where(~F.col("relative_path").rlike(SECRET_PATTERNS))
+    rows = files.withColumn("relative_path", relative).where(paths.selected(F.col("relative_path"), [], [*paths.SECRETS, "**/.git/**"]))
     if max_depth is not None:
         rows = rows.where(F.size(F.split("relative_path", "/")) - 1 <= max_depth)
     if max_bytes is not None:
