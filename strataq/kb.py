@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.corpus import used
-from strataq.operators import assembly, chunking, enrichment, fulltext, graph, incremental, memory, paths, policy, search_index
+from strataq.operators import assembly, chunking, enrichment, fulltext, graph, incremental, memory, paths, policy, search_index, traversal
 from strataq.session import checkpointed, forget, small
 from strataq.sources import walk
 from strataq.sources.connectors import BudgetExceeded
@@ -325,7 +325,11 @@ class KnowledgeBase:
         return graph.neighbors(self.edges(), node, depth, edge_types, stored=True)
 
     def path(self, source: str, target: str, max_depth: int = 8) -> list[str]:
-        return graph.shortest_path(self.edges(), source, target, max_depth, stored=True)
+        return traversal.path(self.edges(), source, target, max_depth, stored=True)
+
+    def part(self, node: str, depth: int = 1, limit: int = 100, **wanted) -> tuple[DataFrame, DataFrame, bool]:
+        """The nodes around one, the edges among them, and whether there are more than the limit."""
+        return traversal.part_of(self.nodes(), self.edges(), node, depth, limit, stored=True, **wanted)
 
     def search_graph(self, query: str, k: int = 10) -> DataFrame:
         return graph.search(self.nodes(), self.edges(), fulltext.query_tokens(query) or [query.lower()], query.lower().strip(), k)

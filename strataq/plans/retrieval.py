@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.corpus import duck_sql, raw, view
-from strataq.operators import chunking, enrichment, fulltext, fusion, graph, incremental, memory, policy, search_index, vectors
+from strataq.operators import chunking, enrichment, fulltext, fusion, graph, incremental, memory, policy, search_index, traversal, vectors
 from strataq.session import shared_dir
 from strataq.streaming import events as streams
 from strataq.streaming import tasks
@@ -200,6 +200,37 @@ _PATH_SQL = """WITH RECURSIVE both_ways AS (SELECT from_node AS a, to_node AS b
     SELECT CAST(min(hops) AS INTEGER) AS hops FROM walk WHERE node = 'supplier:1'"""
 
 
+def gr5_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the first of the shortest paths between two nodes, over edges in either direction."""
+    path = traversal.path(view(spark, sf_dir, "graph_edges"), "customer:1", "supplier:2")
+    return spark.createDataFrame(list(enumerate(path)), "place int, node string")
+
+
+def _levels_sql(start: str, levels: int) -> str:
+    """Breadth-first search by a statement a level; of the paths to a node the first by names."""
+    out = ["e AS MATERIALIZED (SELECT from_node AS a, to_node AS b FROM graph_edges UNION SELECT to_node, from_node FROM graph_edges)", f"l0 AS (SELECT '{start}' AS node, ['{start}'] AS path)"]
+    for i in range(1, levels + 1):
+        seen = " UNION ALL ".join(f"SELECT node FROM l{j}" for j in range(i))
+        out.append(f"l{i} AS MATERIALIZED (SELECT e.b AS node, min(list_append(path, e.b)) AS path FROM l{i - 1} JOIN e ON e.a = node WHERE e.b NOT IN ({seen}) GROUP BY e.b)")
+    found = " UNION ALL ".join(f"SELECT * FROM l{i} WHERE node = 'supplier:2'" for i in range(levels + 1))
+    return f"WITH {', '.join(out)} SELECT CAST(i - 1 AS INTEGER) AS place, path[i] AS node FROM ({found}) f, generate_series(1, 9) g(i) WHERE i <= len(path)"
+
+
+def gr2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 200 nodes around a region, hierarchy first, without customers and what is behind them only."""
+    found = traversal.neighbourhood(view(spark, sf_dir, "graph_edges"), "region:1", 3, nodes=view(spark, sf_dir, "graph_nodes"), exclude_node_types=["customer"], max_nodes=200)
+    return found.select("place", "node", "depth", F.array_join("path", ">").alias("path"), F.array_join("edge_types", ",").alias("edge_types"))
+
+
+def _near_sql(start: str, depth: int, most: int) -> str:
+    out = ["e AS MATERIALIZED (SELECT from_node, to_node, min(CASE WHEN type = 'contains' THEN '0' ELSE '1' END) || to_node AS step, list_sort(list(DISTINCT type)) AS types FROM graph_edges WHERE to_node NOT LIKE 'customer:%' GROUP BY from_node, to_node)", f"l0 AS (SELECT '{start}' AS node, CAST([] AS VARCHAR[]) AS steps, CAST([] AS VARCHAR[]) AS types, 0 AS depth)"]
+    for i in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT node FROM l{j}" for j in range(i))
+        out.append(f"l{i} AS MATERIALIZED (SELECT to_node AS node, min(list_append(steps, step)) AS steps, arg_min(e.types, list_append(steps, step)) AS types, {i} AS depth FROM l{i - 1} JOIN e ON from_node = node WHERE to_node NOT IN ({seen}) GROUP BY to_node)")
+    every = " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(1, depth + 1))
+    return f"WITH {', '.join(out)} SELECT CAST(row_number() OVER (ORDER BY depth, steps) AS INTEGER) AS place, node, depth, '{start}>' || array_to_string(list_transform(steps, lambda s: s[2:]), '>') AS path, array_to_string(types, ',') AS edge_types FROM ({every}) x ORDER BY depth, steps LIMIT {most}"
+
+
 def gr7_match_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.match_nodes(view(spark, sf_dir, "graph_nodes"), ["america", "region"], "america", 30)
 
@@ -426,6 +457,8 @@ SQL = {
     "gr2_neighbors": duck_sql("WITH RECURSIVE walk(node, depth) AS (SELECT 'region:1', 0 UNION SELECT e.to_node, w.depth + 1 FROM walk w JOIN graph_edges e ON e.from_node = w.node WHERE w.depth < 3) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node"),
     "gr4_slice": duck_sql("WITH near AS (SELECT 'nation:3' AS n UNION SELECT to_node FROM graph_edges WHERE from_node = 'nation:3') SELECT from_node, to_node, type FROM graph_edges WHERE from_node IN (SELECT n FROM near) AND to_node IN (SELECT n FROM near)"),
     "gr5_shortest_path": duck_sql(_PATH_SQL),
+    "gr5_path": duck_sql(_levels_sql("customer:1", 6)),
+    "gr2_hierarchy": duck_sql(_near_sql("region:1", 3, 200)),
     "gr7_match_nodes": duck_sql(_MATCH_SQL),
     "gr10_similarity": _SIMILAR_SQL,
     "j10_shared_terms": "WITH t AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem) SELECT a.o AS a, b.o AS b, count(*) AS shared FROM t a JOIN t b ON a.s = b.s AND a.o < b.o GROUP BY a.o, b.o HAVING count(*) >= 2",
