@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.corpus import duck_sql, raw, view
-from strataq.operators import chunking, enrichment, fulltext, fusion, graph, incremental, memory, policy, search_index, traversal, vectors
+from strataq.operators import ann, chunking, enrichment, fulltext, fusion, graph, incremental, memory, policy, search_index, traversal, vectors
 from strataq.session import shared_dir
 from strataq.streaming import events as streams
 from strataq.streaming import tasks
@@ -111,6 +111,22 @@ def _cosine_sql(where: str) -> str:
         SELECT CAST(row_number() OVER (ORDER BY cosine DESC, vec_id) AS INTEGER) AS rank, vec_id, cosine, round(greatest(0.0, least(1.0, (cosine + 1) / 2)), 6) AS score FROM d ORDER BY cosine DESC, vec_id LIMIT 10"""
 
 
+def vx4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an inverted file finds for every 50th vector, held against exact search: rank, and whether it is among the exact ten."""
+    rows = raw(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 50 = 0")
+    where = f"{shared_dir(spark).rstrip('/')}/ann-{uuid.uuid4().hex}"
+    ann.build(rows, where)
+    wanted = ann.exact(rows, asked).select("query_id", "id", F.lit(True).alias("right"))
+    return ann.search(spark, where, asked).join(wanted, ["query_id", "id"], "left").select("query_id", "rank", F.col("id").alias("vec_id"), "cosine", F.coalesce("right", F.lit(False)).alias("right"))
+
+
+def vx4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors for every 50th."""
+    rows = raw(spark, sf_dir, "embeddings")
+    return ann.exact(rows, rows.where("vec_id % 50 = 0")).select("query_id", "rank", F.col("id").alias("vec_id"), F.round("cosine", 6).alias("cosine"))
+
+
 def vx6_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = raw(spark, sf_dir, "embeddings").select("vec_id", "label")
     return vectors.upsert(rows, rows.where("vec_id % 4 = 0").withColumn("label", F.lit(99)), "vec_id")
@@ -447,6 +463,8 @@ SQL = {
     "tx1_query_tokens": "SELECT unnest(['call', 'config', 'engine', 'httpserver', 'parse', 'parseconfig', 'sync', 'sync_engine']) AS token",
     "vx3_cosine_top_k": _cosine_sql("true"),
     "vx10_filtered_top_k": _cosine_sql("label = 1"),
+    "vx4_exact": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS s FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, vec_id, round(s, 6) AS cosine FROM r WHERE rank <= 10""",
     "vx6_upsert": "SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 99 ELSE label END AS label FROM embeddings",
     "ag23_centroids": "SELECT label, CAST(i - 1 AS INTEGER) AS dim, round(avg(CAST(x AS DOUBLE)), 6) AS mean, round(var_pop(CAST(x AS DOUBLE)), 6) AS variance, count(*) AS n FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) t GROUP BY label, i",
     "rf1_hybrid": _hybrid_sql(),
