@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import setjoin
 from .graph import components
 
 #: Fixed values of the salience formula.
@@ -72,13 +73,10 @@ def token_rows(records: DataFrame) -> DataFrame:
 
 
 def similar_pairs(records: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(a, b, jaccard) within buckets, by an inverted index of tokens."""
-    tokens = token_rows(records)
-    sizes = tokens.groupBy("record_id").agg(F.count("*").alias("n"))
-    own = tokens.join(sizes, "record_id")
-    pairs = own.alias("x").join(own.alias("y"), F.expr("x.bucket = y.bucket AND x.token = y.token AND x.record_id < y.record_id"))
-    shared = pairs.groupBy(F.col("x.record_id").alias("a"), F.col("y.record_id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("k"))
-    return shared.select("a", "b", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6).alias("jaccard")).where(F.col("jaccard") >= least)
+    """(a, b, jaccard) within buckets, by a join of sets with prefix filters."""
+    sets = token_rows(records).groupBy("bucket", F.col("record_id").alias("id")).agg(F.collect_set("token").alias("tokens"))
+    found = setjoin.similar(sets, least - 1e-6)  # similarities count as rounded
+    return found.select("a", "b", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def clusters(records: DataFrame, least: float = SIMILAR) -> DataFrame:
