@@ -186,7 +186,10 @@ def html_text(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
 
 MARKDOWN_LINK, WIKI_LINK, WEB_LINK = r"\[[^\]\n]*\]\(([^)\s]+)[^)]*\)", r"\[\[([^\]|\n]+)(?:\|[^\]\n]*)?\]\]", r"(https?://[^\s)>\]\"']+)"
-CITATION = r"\[@?([A-Za-z][A-Za-z0-9_.:-]{2,})\](?!\()"
+#: What a cited key looks like, words that stand in brackets without being one, and the shape of versions.
+CITATION = r"\[@?([A-Za-z0-9_.:-]+)\]"
+NOT_CITED = ("x", "ok", "tbd", "todo", "na", "n/a", "unreleased", "yes", "no", "y", "n")
+VERSION = r"^[vV]?[\dxXyYzZ]+([._-][\dxXyYzZ]+)*$"
 
 
 def link_targets(text: Column) -> Column:
@@ -196,6 +199,6 @@ def link_targets(text: Column) -> Column:
 
 
 def citations(text: Column) -> Column:
-    """Cited keys in brackets, without version numbers; of keys that differ in case only, the first."""
-    found = F.filter(F.regexp_extract_all(text, F.lit(CITATION), F.lit(1)), lambda x: ~x.rlike(r"^[vV]?[0-9xXyYzZ]+([._-][0-9xXyYzZ]+)*$"))
+    """Cited keys in brackets, of three characters or more; no versions or words like todo. Of keys that differ in case only, the first."""
+    found = F.filter(F.regexp_extract_all(text, F.lit(CITATION), F.lit(1)), lambda x: (F.length(x) >= 3) & ~F.lower(x).isin(*NOT_CITED) & ~x.rlike(VERSION))
     return F.filter(found, lambda x, i: F.array_position(F.transform(found, lambda y: F.lower(y)), F.lower(x)) == i + 1)

@@ -184,7 +184,7 @@ SQL = {
         CASE turn % 4 WHEN 0 THEN 'a|b' WHEN 1 THEN 'docs/' || conv_id ELSE 'tmp/' || conv_id || '|tmp' END AS "values" FROM conversations WHERE turn % 4 < 3""",
     "tm4_policies": "SELECT * FROM (VALUES (0, 'auto', '', '', true, 'hot'), (1, 'off', '', '', true, 'hot'), (2, 'auto', '', '', true, 'hot'), (3, 'only', 'org', '', true, 'cold'), (4, 'auto', '', '2024-01-01T00:00:00Z', false, 'hot|cold'), (5, 'auto', '', '', true, 'hot')) t(i, mode, scopes, as_of, current_only, tiers)",
     "tg14_links": "SELECT s_suppkey, CAST(place AS INTEGER) AS place, replace(target, '{n}', CAST(s_suppkey AS STRING)) AS target FROM supplier CROSS JOIN (VALUES (0, 'docs/a.md'), (1, 'https://e.org/p'), (2, 'y'), (3, 'Notes'), (4, 'https://e.org/q?{n}.')) v(place, target)",
-    "tg15_citations": "SELECT s_suppkey, 'Knuth84' AS citation FROM supplier",
+    "tg15_citations": "SELECT s_suppkey, citation FROM supplier CROSS JOIN (VALUES ('guide'), ('Knuth84'), ('Smith:2001')) v(citation)",
     "sk11_node_link": duck_sql("SELECT from_node, to_node, type, true AS truncated FROM (SELECT DISTINCT from_node, to_node, type FROM graph_edges WHERE from_node LIKE 'region:%' AND to_node LIKE 'nation:%') e ORDER BY from_node, to_node, type LIMIT 20"),
     "sk12_cytoscape": """SELECT 'nodes' AS "group", '{"id":"nation:' || n_nationkey || '","label":"' || n_name || '","type":"nation"}' AS data FROM nation
         UNION ALL SELECT 'edges', '{"id":"region:' || n_regionkey || '|contains|nation:' || n_nationkey || '","source":"region:' || n_regionkey || '","target":"nation:' || n_nationkey || '","type":"contains"}' FROM nation""",

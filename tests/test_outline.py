@@ -62,3 +62,13 @@ def test_parents(spark, case):
 def test_letters_and_numerals(items, wanted):
     rows = [{"line": i, "level": 6, "kind": "lettered", "number": n, "title": "x"} for i, n in enumerate(items.split())]
     assert [r["ordinal"][0] for r in chunking.nested(rows)] == wanted
+
+
+def test_citations(spark):
+    from pyspark.sql import functions as F
+
+    from strataq.operators import enrichment
+
+    text = "[todo] [TBD] [Unreleased] [x] [2019smith] [@Knuth84] [knuth84] [v1.2.3] [1.x] [12] [ab] [Smith:2001](page 3) [a b]"
+    row = spark.createDataFrame([(text,)], "t string").select(enrichment.citations(F.col("t")).alias("c")).first()
+    assert row["c"] == ["2019smith", "Knuth84", "Smith:2001"]
