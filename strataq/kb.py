@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataq.corpus import used
-from strataq.operators import assembly, chunking, enrichment, fulltext, graph, incremental, memory, paths, policy, search_index, traversal
-from strataq.session import checkpointed, forget, small
+from strataq.operators import assembly, chunking, enrichment, fulltext, fusion, graph, incremental, memory, paths, policy, search_index, traversal, vectors
+from strataq.session import checkpointed, forget, ship_package, small
 from strataq.sources import walk
 from strataq.sources.connectors import BudgetExceeded
 from strataq.store import Conflict, Run, Store, Version
@@ -20,10 +23,13 @@ SCHEMAS = {
     "links": "artifact_id string, target string",
     "postings": search_index.POSTINGS,
     "dictionary": search_index.DICTIONARY,
+    "vectors": "artifact_id string, chunk_id string, embedding array<double>",
     "edges": "from_node string, to_node string, type string",
     "memory": "record_id string, scope string, subject string, kind string, written_by string, text string, asserted_at string, valid_from string, valid_until string, supersedes string, uses long, observations long, tier string, last_seen string, last_used_at string",
 }
 VIEWS = ("artifacts", "chunks", "headings", "links", "nodes", "edges", "memory_records")
+#: Arms of a hybrid search, the first ones' records being shown, and hits of each that are fused.
+ARMS, POOL = ("text", "vector", "graph"), 50
 #: More sources than this in an ingest, and it counts as one of all sources.
 NAMED_SOURCES = 1000
 #: Hits whose chunks are read by a filter on their artifacts.
@@ -216,7 +222,7 @@ class KnowledgeBase:
             return True
         run = self.store.lease()
         try:
-            for name in ("artifacts", "chunks", "headings", "links", "postings"):
+            for name in ("artifacts", "chunks", "headings", "links", "postings", "vectors"):
                 live = self._live(name, base).drop("run")
                 order = {"postings": ["term", "id"], "chunks": ["artifact_id", "chunk_index"]}.get(name)
                 live = live.where("NOT deleted") if name == "artifacts" else live
@@ -279,6 +285,73 @@ class KnowledgeBase:
         about = self.artifacts(version).where(only).select("artifact_id", F.col("relative_path").alias("path"))
         return texts.join(about, "artifact_id").select("rank", "chunk_id", "artifact_id", "path", F.col("heading_path").alias("heading"), "score", assembly.extract(F.col("text")).alias("snippet")).orderBy("rank")
 
+    def embed(self, embedder: Callable[[list[str]], list[list[float]]]) -> int:
+        """Gives every chunk that has no vector one, by embedder(texts), which tasks call for batches of texts; how many there were.
+
+        Vectors of texts that have changed are masked as their chunks are. If an ingest comes between, it is done again.
+        """
+        ship_package(self.spark)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = embedder(batch.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.float64()))], ["artifact_id", "chunk_id", "embedding"])
+
+        while True:
+            base = self.store.version()
+            wanted = self.chunks(base).select("artifact_id", "chunk_id", "text").join(self._live("vectors", base).select("chunk_id"), "chunk_id", "left_anti").select("artifact_id", "chunk_id", "text")
+            run_ = self.store.lease()
+            try:
+                self.store.write("vectors", run_, wanted.mapInArrow(run, SCHEMAS["vectors"]))
+                own = Run(run_, 0)
+                n = self.store.read("vectors", Version(0, [own])).count()
+                if n:
+                    self.store.commit(base, lambda head: Version(0, [*head.runs, Run(run_, _next(head), ["vectors"])], head.facts))
+                return n
+            except Conflict:
+                continue
+            finally:
+                self.store.release(run_)
+
+    def hybrid(self, query: str, k: int = 10, embedder: Callable[[list[str]], list[list[float]]] | None = None, arms: tuple[str, ...] = ARMS, identities: list[str] | None = None, default_public: bool = True, sources: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+        """((rank, key, artifact_id, path, score, retrieved_by), arms without an answer to give): ranks of arms, fused.
+
+        Arms are text (chunks by words), vector (chunks by meaning: it needs an embedder and vectors) and graph (nodes by
+        names: headings and files stand for their artifact, links for the one they come from). An arm that can't be asked
+        is left out, and named. An artifact comes once. The caller's rights and sources hold in every arm before it ranks.
+        """
+        version = self.store.version()
+        seen = self.artifacts(version).where(policy.visible(identities, default_public))
+        seen = seen.where(F.col("source").isin(*sources)) if sources is not None else seen
+        seen = seen.select("artifact_id", "relative_path")
+        found, missing = [], []
+        for arm in arms:
+            if arm == "text":
+                asked = self.spark.createDataFrame([("", fulltext.query_tokens(query) or [query.lower()])], "question string, terms array<string>")
+                rows = self.answers(asked, POOL, identities, default_public, sources).select(F.col("chunk_id").alias("key"), F.col("artifact_id").alias("node"), "rank")
+            elif arm == "vector":
+                own = self._live("vectors", version)
+                if embedder is None or own.isEmpty():
+                    missing.append(arm)
+                    continue
+                near = vectors.cosine_top_k(own.join(seen, "artifact_id", "left_semi"), embedder([query])[0], POOL, "chunk_id")
+                rows = near.select(F.col("chunk_id").alias("key"), F.regexp_replace("chunk_id", ":chunk=[0-9]+$", "").alias("node"), "rank")
+            elif arm == "graph":
+                if self.edges().isEmpty():
+                    missing.append(arm)
+                    continue
+                of = F.regexp_extract(F.split("key", " ")[0], "^(?:heading:)?(file:.*?)(?::[0-9]+)?$", 1)
+                hits = self.search_graph(query, 4 * POOL).select("rank", "key", of.alias("node")).join(seen.select(F.col("artifact_id").alias("node")), "node", "left_semi")
+                rows = hits.select("key", "node", F.row_number().over(Window.orderBy("rank")).alias("rank")).where(F.col("rank") <= POOL)
+            else:
+                raise ValueError(f"no arm {arm}")
+            found.append((arm, rows))
+        if not found:
+            return self.spark.createDataFrame([], "rank int, key string, artifact_id string, path string, score double, retrieved_by string"), missing
+        fused = fusion.reciprocal_rank(found, k)
+        about = seen.select(F.col("artifact_id"), F.col("relative_path").alias("path"))
+        return about.join(F.broadcast(fused), F.col("artifact_id") == F.col("node")).select("rank", "key", "artifact_id", "path", "score", "retrieved_by").orderBy("rank"), missing
+
     def context(self, query: str, k: int = 10, identities: list[str] | None = None, default_public: bool = True) -> DataFrame:
         """(place, artifact_id, n_chunks, included, text): documents of the best chunks, put together within a budget."""
         hits = checkpointed(self.search(query, k, identities, default_public).select("rank", "chunk_id", "artifact_id"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strataq.corpus import duck_sql, raw, view
 from strataq.functions import words
-from strataq.operators import enrichment, paths, upkeep
+from strataq.operators import digest, enrichment, paths, upkeep
+from strataq.session import checkpointed
 from strataq.sources import graphs
 
 
@@ -57,6 +58,15 @@ def gr15_node_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.canonical_rows(nodes, edges.unionByName(edges.withColumn("type", F.lit("also"))))
 
 
+def gr15_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between the graph and one with a changed supplier, found by their digests."""
+    now = view(spark, sf_dir, "graph_edges")
+    fresh = spark.createDataFrame([("supplier:1", "part:fresh", "imports")], "from_node string, to_node string, type string")
+    then = now.where("from_node <> 'supplier:1' OR to_node LIKE '%7'").unionByName(fresh)
+    trees = [checkpointed(digest.tree(e)) for e in (now, then)]
+    return digest.difference(now, then, digest.changed(*trees)[0])
+
+
 def gr11_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges by the links of suppliers' notes to parts' files."""
     files = raw(spark, sf_dir, "part").select(F.concat(F.lit("docs/p"), "p_partkey", F.lit(".md")).alias("path"))
@@ -81,6 +91,8 @@ SQL = {
     "gr15_node_link": """SELECT 'nodes' AS part, 'region:' || r_regionkey AS id, '' AS target, 0 AS "key", '{"id":"region:' || r_regionkey || '","label":"' || r_name || '","type":"region"}' AS data FROM region
         UNION ALL SELECT 'nodes', 'nation:' || n_nationkey, '', 0, '{"id":"nation:' || n_nationkey || '","label":"' || n_name || '","type":"nation"}' FROM nation
         UNION ALL SELECT 'links', 'region:' || n_regionkey, 'nation:' || n_nationkey, k, '{"key":' || k || ',"source":"region:' || n_regionkey || '","target":"nation:' || n_nationkey || '","type":"' || t || '"}' FROM nation CROSS JOIN (VALUES (0, 'also'), (1, 'contains')) v(k, t)""",
+    "gr15_difference": """SELECT from_node, to_node, type, 'removed' AS op FROM graph_edges WHERE from_node = 'supplier:1' AND to_node NOT LIKE '%7'
+        UNION ALL SELECT 'supplier:1', 'part:fresh', 'imports', 'added'""",
     "gr11_references": "SELECT 'notes/s' || s_suppkey || '.md' AS from_node, 'docs/p' || p_partkey || '.md' AS to_node, 'references' AS type FROM supplier JOIN part ON p_partkey IN (s_suppkey, s_suppkey + 1)",
     "fn_words": "SELECT p_partkey, 'get part' || p_size || ' httpname item' AS term, 'getpart' || p_size || '_httpname' AS slug, 'Part ' || p_partkey AS line FROM part",
 }

@@ -1,9 +1,13 @@
+import sys
 import tempfile
 
 import pytest
+from pyspark import cloudpickle
 
 from strataq.kb import KnowledgeBase
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks can't import tests
+
 TEXTS = [
     ("docs", "guide.md", "# Guide\n\nHow the gateway starts.\n\n## Deploy\n\nSee [notes](notes.md) about deploying the gateway.", None),
     ("docs", "notes.md", "# Notes\n\nNothing of it is secret.", '{"allow": ["user:ana"]}'),
@@ -56,3 +60,28 @@ def test_memory(base, spark):
     assert {r["record_id"] for r in base.memory_records().collect()} == {"a", "c"}
     assert [r["record_id"] for r in base.recall("2024-04-01T00:00:00Z").collect()] == ["c"]
     assert [r["record_id"] for r in base.recall("2024-04-01T00:00:00Z", {"as_of": "2024-02-15T00:00:00Z"}).collect() if r["asserted_at"] < "2024-02"] == ["a"]
+
+
+def vectors_of(texts):
+    """By letters: texts of the same letters are near."""
+    return [[float(t.lower().count(c)) + 0.01 for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+
+
+def test_hybrid_search(spark):
+    base = KnowledgeBase(spark, tempfile.mkdtemp(prefix="kb-"))
+    rows = [("docs", "deploy.md", "# Deploy\n\nzzz zzz", None), ("docs", "words.md", "how to deploy it, and deploy again", None), ("docs", "near.md", "yolped", None), ("hr", "secret.md", "deploy deploy", '{"allow": ["user:ana"]}')]
+    base.ingest(spark.createDataFrame(rows, SCHEMA))
+    found, missing = base.hybrid("deploy")
+    assert missing == ["vector", "graph"] and {r["path"] for r in found.collect()} == {"deploy.md", "words.md", "secret.md"} - {"secret.md"}
+    assert base.embed(vectors_of) == 4 and base.embed(vectors_of) == 0
+    base.build_graph()
+    found, missing = base.hybrid("deploy", embedder=vectors_of)
+    by = {r["path"]: r for r in found.collect()}
+    assert missing == [] and set(by) == {"deploy.md", "words.md", "near.md"} and by["deploy.md"]["retrieved_by"] in ("text+vector", "graph", "text")
+    assert sorted(r["rank"] for r in by.values()) == [1, 2, 3] and by["near.md"]["retrieved_by"] == "vector"
+    assert "secret.md" in {r["path"] for r in base.hybrid("deploy", embedder=vectors_of, identities=["user:ana"])[0].collect()}
+    assert [r["path"] for r in base.hybrid("deploy", arms=("graph",), sources=["docs"])[0].collect()] == ["deploy.md"]
+    # A changed text's vector is masked, and the next run gives it a new one.
+    base.ingest(spark.createDataFrame([("docs", "near.md", "qqq", None)], SCHEMA))
+    assert base.hybrid("yolped", arms=("vector",), embedder=vectors_of, sources=["docs"])[0].collect() == [] and base.embed(vectors_of) == 1
+    assert base.compact() and base.hybrid("qqq", arms=("vector",), embedder=vectors_of, sources=["docs"])[0].first()["path"] == "near.md"
