@@ -139,8 +139,7 @@ def sk11_node_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sk12_cytoscape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = view(spark, sf_dir, "graph_nodes").where("type = 'nation'")
-    return report.cytoscape(nodes, view(spark, sf_dir, "graph_edges").where("from_node LIKE 'region:%'"))
+    return report.cytoscape(view(spark, sf_dir, "graph_nodes"), view(spark, sf_dir, "graph_edges").distinct())
 
 
 _OUTLINE = """(VALUES (3, 1, 'markdown', '', 'Plan', '', NULL, '*'), (5, 1, 'keyword', 'IV', 'General Terms', '4', NULL, 'General Terms'), (7, 3, 'keyword', '2', 'Scope', '2', 5, 'General Terms > Scope'),
@@ -151,12 +150,12 @@ _TOKENS, _QUERY = ["asia", "contains"], "asia contains"
 
 
 def gr8_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.match_relationships(view(spark, sf_dir, "graph_nodes"), view(spark, sf_dir, "graph_edges").where("type = 'contains' AND from_node LIKE 'region:%'"), _TOKENS, _QUERY)
+    found = graph.match_relationships(view(spark, sf_dir, "graph_nodes"), view(spark, sf_dir, "graph_edges"), _TOKENS, _QUERY)
     return found.select("from_node", "to_node", "score", "title")
 
 
 def gr9_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.search(view(spark, sf_dir, "graph_nodes").where("type IN ('region', 'nation')"), view(spark, sf_dir, "graph_edges").where("from_node LIKE 'region:%'"), ["america", "asia"], "asia", 12)
+    return graph.search(view(spark, sf_dir, "graph_nodes"), view(spark, sf_dir, "graph_edges"), ["america", "asia"], "asia", 12)
 
 
 def w8_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,9 +166,14 @@ def w11_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.fill_budget(raw(spark, sf_dir, "documents").where("text IS NOT NULL"), "source", "doc_id", "n_chars", "doc_id", 20_000).select("source", F.col("doc_id").cast("long").alias("doc_id"), "place")
 
 
-def _ladder(text: str, exact: float, every: float, some: float) -> str:
+def _ladder(text: str, exact: float, every: float, some: float, query: str = _QUERY, other: str = "contains") -> str:
     low = f"lower(coalesce({text}, ''))"
-    return f"CASE WHEN {low} = '' THEN 0 WHEN {low} = '{_QUERY}' THEN {exact} WHEN contains({low}, '{_QUERY}') THEN {(exact + every) / 2} WHEN contains({low}, 'asia') AND contains({low}, 'contains') THEN {every} WHEN contains({low}, 'asia') OR contains({low}, 'contains') THEN {some} ELSE 0 END"
+    return f"CASE WHEN {low} = '' THEN 0 WHEN {low} = '{query}' THEN {exact} WHEN contains({low}, '{query}') THEN {(exact + every) / 2} WHEN contains({low}, 'asia') AND contains({low}, '{other}') THEN {every} WHEN contains({low}, 'asia') OR contains({low}, '{other}') THEN {some} ELSE 0 END"
+
+
+def _relationships_sql(query: str, other: str) -> str:
+    best = ", ".join(_ladder(c, *w, query, other) for c, w in (("e.type", (0.65, 0.55, 0.45)), ("a.label", (0.5, 0.4, 0.3)), ("b.label", (0.5, 0.4, 0.3))))
+    return f"SELECT * FROM (SELECT from_node, to_node, e.type, round(CAST(greatest({best}) AS DOUBLE), 3) AS score, a.label || ' —' || e.type || '→ ' || b.label AS title FROM graph_edges e JOIN graph_nodes a ON a.node_id = e.from_node JOIN graph_nodes b ON b.node_id = e.to_node) r WHERE score > 0"
 
 
 SQL = {
@@ -186,13 +190,17 @@ SQL = {
     "tg14_links": "SELECT s_suppkey, CAST(place AS INTEGER) AS place, replace(target, '{n}', CAST(s_suppkey AS STRING)) AS target FROM supplier CROSS JOIN (VALUES (0, 'docs/a.md'), (1, 'https://e.org/p'), (2, 'y'), (3, 'Notes'), (4, 'https://e.org/q?{n}.')) v(place, target)",
     "tg15_citations": "SELECT s_suppkey, citation FROM supplier CROSS JOIN (VALUES ('guide'), ('Knuth84'), ('Smith:2001')) v(citation)",
     "sk11_node_link": duck_sql("SELECT from_node, to_node, type, true AS truncated FROM (SELECT DISTINCT from_node, to_node, type FROM graph_edges WHERE from_node LIKE 'region:%' AND to_node LIKE 'nation:%') e ORDER BY from_node, to_node, type LIMIT 20"),
-    "sk12_cytoscape": """SELECT 'nodes' AS "group", '{"id":"nation:' || n_nationkey || '","label":"' || n_name || '","type":"nation"}' AS data FROM nation
-        UNION ALL SELECT 'edges', '{"id":"region:' || n_regionkey || '|contains|nation:' || n_nationkey || '","source":"region:' || n_regionkey || '","target":"nation:' || n_nationkey || '","type":"contains"}' FROM nation""",
+    "sk12_cytoscape": duck_sql("""SELECT 'nodes' AS "group", CAST(to_json(struct_pack(id := node_id, label := label, type := type)) AS VARCHAR) AS data FROM graph_nodes
+        UNION ALL SELECT 'edges', CAST(to_json(struct_pack(id := from_node || '|' || type || '|' || to_node, source := from_node, target := to_node, type := type)) AS VARCHAR) FROM (SELECT DISTINCT from_node, to_node, type FROM graph_edges) e"""),
     "tg4_headings": f"SELECT n_nationkey AS doc_id, line, level, kind, number, title || CASE WHEN kind = 'markdown' THEN ' ' || n_name ELSE '' END AS title FROM nation CROSS JOIN {_OUTLINE}",
     "tg8_outline": f"SELECT n_nationkey AS doc_id, line, ordinal, parent, CASE WHEN path = '*' THEN 'Plan ' || n_name ELSE path END AS path FROM nation CROSS JOIN {_OUTLINE}",
     "tg18_heading_edges": f"SELECT CASE WHEN parent IS NULL THEN 'file:' || n_nationkey ELSE 'heading:' || n_nationkey || ':' || parent END AS from_node, 'heading:' || n_nationkey || ':' || line AS to_node, CASE WHEN parent IS NULL THEN 'has_heading' ELSE 'contains' END AS type FROM nation CROSS JOIN {_OUTLINE}",
     "tg2_section_chunks": "SELECT n_nationkey AS doc_id, i AS chunk_index, line AS start_line, n + CASE WHEN i = 1 THEN length(n_name) ELSE 0 END AS n FROM nation CROSS JOIN (VALUES (0, 1, 13), (1, 3, 7), (2, 5, 21), (3, 7, 28), (4, 9, 7), (5, 10, 11), (6, 11, 10), (7, 12, 9), (8, 13, 11), (9, 14, 8), (10, 15, 46)) v(i, line, n)",
-    "gr8_relationships": duck_sql(f"SELECT from_node, to_node, round(CAST(greatest({_ladder('e.type', 0.65, 0.55, 0.45)}, {_ladder('a.label', 0.5, 0.4, 0.3)}, {_ladder('b.label', 0.5, 0.4, 0.3)}) AS DOUBLE), 3) AS score, a.label || ' —' || e.type || '→ ' || b.label AS title FROM graph_edges e JOIN graph_nodes a ON a.node_id = e.from_node JOIN graph_nodes b ON b.node_id = e.to_node WHERE e.from_node LIKE 'region:%'"),
+    "gr8_relationships": duck_sql(f"SELECT from_node, to_node, score, title FROM ({_relationships_sql(_QUERY, 'contains')}) t"),
+    "gr9_graph_search": duck_sql(f"""WITH n AS (SELECT node_id, label, CAST(greatest({_ladder('label', 1.0, 0.9, 0.6, 'asia', 'america')}, CASE WHEN regexp_matches(lower(type), 'america|asia') THEN 0.5 ELSE 0 END) AS DOUBLE) AS score FROM graph_nodes),
+        b AS (SELECT DISTINCT * FROM (SELECT * FROM n WHERE score > 0 ORDER BY score DESC, label, node_id LIMIT 12) x), r AS (SELECT DISTINCT * FROM ({_relationships_sql('asia', 'america')}) y ORDER BY score DESC, title, from_node, to_node, type LIMIT 12),
+        u AS (SELECT 0 AS part, 'node' AS kind, node_id AS key, label AS title, score FROM b UNION ALL SELECT 1, 'relationship', from_node || ' ' || type || ' ' || to_node, title, score FROM r)
+        SELECT CAST(row_number() OVER (ORDER BY part, score DESC, title, key) AS INTEGER) AS rank, kind, key, title, score FROM u ORDER BY part, score DESC, title, key LIMIT 12"""),
     "w8_facts": duck_sql("""WITH RECURSIVE c AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY o) AS d, o FROM (SELECT DISTINCT l_suppkey AS s, 'part:' || CAST(l_partkey AS STRING) AS o FROM lineitem WHERE l_suppkey IN (1, 2, 3)) x),
         g AS (SELECT *, row_number() OVER (ORDER BY d, s) AS n FROM c WHERE d <= 32),
         w AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS STRING[]) AS used, CAST([] AS BIGINT[]) AS by_s, CAST(NULL AS STRING) AS o, CAST(NULL AS BIGINT) AS s

@@ -34,9 +34,8 @@ def sc26_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tx14_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes with a word that begins with `nation` or with `9`, or at most 2,000 of them."""
-    nodes = view(spark, sf_dir, "graph_nodes").where("type IN ('region', 'nation', 'customer', 'supplier')")
-    return upkeep.node_candidates(upkeep.node_terms(nodes), ["Nation", "supplier", "x"], 40)
+    """Nodes with a word that begins with `nation` or `supplier`, the first 2,000 of them."""
+    return upkeep.node_candidates(upkeep.node_terms(view(spark, sf_dir, "graph_nodes")), ["Nation", "supplier", "x"])
 
 
 def tx7_preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +83,7 @@ SQL = {
     "fp16_repairs": "SELECT 'file:' || doc_id AS artifact_id, (['no state', 'other content', 'no node', 'not indexed', 'chunks missing'])[doc_id % 7 + 1] AS reason FROM documents WHERE doc_id % 7 < 5",
     "vx11_changes": "SELECT a.r_regionkey AS a, b.r_regionkey AS b, CASE WHEN a.r_regionkey = b.r_regionkey THEN 'none' WHEN b.r_regionkey = 1 THEN 'disabled' WHEN a.r_regionkey < 2 THEN 'introduced' ELSE 'invalidated' END AS change FROM region a JOIN region b ON b.r_regionkey > 0",
     "sc26_files": "SELECT 'm/' || p_partkey || '.png' AS path, CASE WHEN p_partkey % 3 = 0 THEN '3: ' || p_partkey WHEN p_partkey % 5 = 0 THEN '5: ' || p_partkey WHEN p_partkey % 2 = 0 THEN '2: ' || p_partkey ELSE '' END AS text FROM part",
-    "tx14_candidates": "SELECT node_id FROM (SELECT 'nation:' || n_nationkey AS node_id FROM nation UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier) t ORDER BY node_id LIMIT 40",
+    "tx14_candidates": r"SELECT DISTINCT node_id FROM graph_nodes WHERE regexp_matches(' ' || regexp_replace(lower(concat_ws(' ', label, type)), '[^\p{L}\p{N}_]+', ' ', 'g'), ' (nation|supplier)') ORDER BY node_id LIMIT 2000",
     "tx7_preferred": "SELECT doc_id, round(greatest(CAST(0.25 AS DOUBLE), 1.2 - 0.35 * (CAST(contains(p, 'en/') AS INT) + CAST(contains(p, 'src1') AS INT) + CAST(contains(p, 'src') AS INT))), 6) AS prior FROM (SELECT doc_id, lower(concat_ws('/', lang, source)) AS p FROM documents) d",
     "rf3_records": """SELECT doc_id AS key, CASE WHEN m = 0 THEN 'relationship' WHEN doc_id % 2 = 0 OR doc_id % 3 = 0 THEN 'chunk' ELSE 'node' END AS kind, CASE WHEN m = 0 THEN 'g' WHEN doc_id % 2 = 0 THEN 't' WHEN doc_id % 3 = 0 THEN 'v' ELSE 'n' END || doc_id AS title,
         CASE WHEN m = 0 THEN 'graph' WHEN doc_id % 2 = 0 THEN 'text' WHEN doc_id % 3 = 0 THEN 'vector' ELSE 'graph' END AS arm FROM (SELECT doc_id, doc_id % 5 AS m FROM documents) d WHERE m < 3 OR doc_id % 2 = 0 OR doc_id % 3 = 0""",
