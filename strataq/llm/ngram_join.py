@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.operators.graph import components
-from strataq.session import checkpointed, forget, ship_package
+from strataq.session import checkpointed, forget, ship_package, small
 
 from . import _text as tx
 from ._frequent import most_frequent
@@ -372,7 +372,8 @@ def class_links(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], classes:
     met = checkpointed(postings.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge, "set long, unit long"))
     member = met.distinct().join(classes.select("set", "size", "copies"), "set")
     blocks = member.groupBy("unit").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("size") * 6 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = member.join(blocks, "unit").groupBy("set").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("unit", "blocks")).alias("own"))
+    # Only units of several blocks are sent along; they are few, or else counted and joined by a shuffle.
+    placed = member.join(small(blocks.where("blocks > 1")), "unit", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).groupBy("set").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("unit", "blocks")).alias("own"))
     sets = placed.join(_sets_of(met, texts), "set").select("set", "copies", "data", F.col("own.unit").alias("units"), F.explode("own").alias("o"))
     block = F.pmod(F.xxhash64("set", "o.unit"), F.col("o.blocks")).cast("int")
     dealt = sets.select("set", "copies", "data", "units", F.col("o.unit").alias("unit"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("o.blocks") - 1)).alias("other"))
