@@ -74,6 +74,7 @@ STATEMENTS: dict[str, str] = {
     "j20_stale_vectors": "SELECT vec_id FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = e.vec_id AND d.doc_id % 3 <> 0)",
     "j21_embed_missing": "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = d.doc_id)",
     "j22_orphan_nodes": "SELECT n.node_id FROM graph_nodes n LEFT JOIN (SELECT DISTINCT node FROM (SELECT from_node AS node FROM graph_edges UNION ALL SELECT to_node AS node FROM graph_edges) b) e ON e.node = n.node_id WHERE e.node IS NULL",
+    "j22_uncontained": "SELECT n.node_id FROM graph_nodes n LEFT JOIN (SELECT DISTINCT to_node FROM graph_edges WHERE type = 'contains') e ON e.to_node = n.node_id WHERE e.to_node IS NULL",
     "j23_dangling_keys": "SELECT count(*) AS dangling FROM chunks WHERE artifact_id NOT IN (SELECT id FROM artifacts)",
     "j24_cross_type_matrix": "SELECT f.type AS from_type, t.type AS to_type, count(*) AS n FROM graph_edges e JOIN graph_nodes f ON f.node_id = e.from_node JOIN graph_nodes t ON t.node_id = e.to_node WHERE f.type IS DISTINCT FROM t.type GROUP BY f.type, t.type",
     "j25_as_of_validity": "SELECT i.at, count(*) AS valid FROM (SELECT '2024-03-01T00:00:00Z' AS at UNION ALL SELECT '2024-06-01T00:00:00Z' UNION ALL SELECT '2024-12-01T00:00:00Z') i JOIN memory_records m ON (coalesce(m.valid_from, '') = '' OR m.valid_from <= i.at) AND (coalesce(m.valid_until, '') = '' OR m.valid_until > i.at) GROUP BY i.at",
@@ -185,5 +186,7 @@ STATEMENTS: dict[str, str] = {
     "sql_recursive": "WITH RECURSIVE walk(node, depth) AS (SELECT 'region:0', 0 UNION ALL SELECT e.to_node, w.depth + 1 FROM walk w JOIN graph_edges e ON e.from_node = w.node WHERE e.type = 'contains' AND w.depth < 3) SELECT depth, count(*) AS n FROM walk GROUP BY depth",
     "sql_pivot_manual": "SELECT l_returnflag, CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS o, CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS f FROM lineitem GROUP BY l_returnflag",
     "sql_array_lambda": "SELECT vec_id, @SIZE(@FILTER(embedding, @L(x) x > 0)) AS positives FROM embeddings",
+    "sql_unpivot": "SELECT n_nationkey, k, v FROM (SELECT n_nationkey, CAST(n_regionkey AS BIGINT) AS region, CAST(length(n_name) AS BIGINT) AS letters FROM nation) s UNPIVOT (v FOR k IN (region, letters))",
+    "sql_approximate": "SELECT lang, abs(approx_count_distinct(doc_id) - count(DISTINCT doc_id)) <= 15e-2 * count(DISTINCT doc_id) AS near FROM documents GROUP BY lang",
     "sql_json": "SELECT event_id, @JSON(props, '$.k') AS k FROM events",
 }

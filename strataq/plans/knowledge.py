@@ -196,6 +196,12 @@ SQL = {
     "tg8_outline": f"SELECT n_nationkey AS doc_id, line, ordinal, parent, CASE WHEN path = '*' THEN 'Plan ' || n_name ELSE path END AS path FROM nation CROSS JOIN {_OUTLINE}",
     "tg18_heading_edges": f"SELECT CASE WHEN parent IS NULL THEN 'file:' || n_nationkey ELSE 'heading:' || n_nationkey || ':' || parent END AS from_node, 'heading:' || n_nationkey || ':' || line AS to_node, CASE WHEN parent IS NULL THEN 'has_heading' ELSE 'contains' END AS type FROM nation CROSS JOIN {_OUTLINE}",
     "tg2_section_chunks": "SELECT n_nationkey AS doc_id, i AS chunk_index, line AS start_line, n + CASE WHEN i = 1 THEN length(n_name) ELSE 0 END AS n FROM nation CROSS JOIN (VALUES (0, 1, 13), (1, 3, 7), (2, 5, 21), (3, 7, 28), (4, 9, 7), (5, 10, 11), (6, 11, 10), (7, 12, 9), (8, 13, 11), (9, 14, 8), (10, 15, 46)) v(i, line, n)",
+    "tm15_candidates": duck_sql(r"""WITH r AS (SELECT record_id, scope, CASE WHEN conv_id % 7 > 0 THEN conv_id || '-' || written_by END AS subject, kind, CASE WHEN scope = 'org' THEN '*' ELSE coalesce(written_by, '') END AS acl, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '')) AS words
+            FROM memory_records WHERE kind NOT IN ('alias', 'preference', 'exclusion') AND coalesce(tier, '') IN ('', 'hot') AND conv_id % 7 > 0),
+        s AS (SELECT scope, subject, kind, acl, count(*) AS size FROM r GROUP BY ALL HAVING count(*) >= 3),
+        m AS (SELECT x.scope, x.subject, x.kind, x.acl, avg(CASE WHEN len(x.words) + len(y.words) = 0 THEN 1.0 ELSE len(list_intersect(x.words, y.words)) / CAST(len(list_distinct(list_concat(x.words, y.words))) AS DOUBLE) END) AS j
+            FROM r x JOIN r y ON x.scope = y.scope AND x.subject = y.subject AND x.kind = y.kind AND x.acl = y.acl AND x.record_id < y.record_id GROUP BY ALL)
+        SELECT s.*, round(j, 6) AS mean_jaccard FROM s JOIN m ON m.scope = s.scope AND m.subject = s.subject AND m.kind = s.kind AND m.acl = s.acl WHERE round(j, 6) <= 0.55"""),
     "gr8_relationships": duck_sql(f"SELECT from_node, to_node, score, title FROM ({_relationships_sql(_QUERY, 'contains')}) t"),
     "gr9_graph_search": duck_sql(f"""WITH n AS (SELECT node_id, label, CAST(greatest({_ladder('label', 1.0, 0.9, 0.6, 'asia', 'america')}, CASE WHEN regexp_matches(lower(type), 'america|asia') THEN 0.5 ELSE 0 END) AS DOUBLE) AS score FROM graph_nodes),
         b AS (SELECT DISTINCT * FROM (SELECT * FROM n WHERE score > 0 ORDER BY score DESC, label, node_id LIMIT 12) x), r AS (SELECT DISTINCT * FROM ({_relationships_sql('asia', 'america')}) y ORDER BY score DESC, title, from_node, to_node, type LIMIT 12),

@@ -325,6 +325,12 @@ _PAIRS_SQL = """WITH t AS (SELECT DISTINCT record_id, bucket, token FROM (SELECT
     SELECT a, b, round(CAST(k AS DOUBLE) / (na + nb - k), 6) AS jaccard FROM p WHERE round(CAST(k AS DOUBLE) / (na + nb - k), 6) >= 0.05"""
 
 
+_CLUSTERS_SQL = f"""WITH RECURSIVE pairs AS MATERIALIZED (SELECT * FROM ({_PAIRS_SQL}) p), e AS MATERIALIZED (SELECT a, b, jaccard FROM pairs UNION ALL SELECT b, a, jaccard FROM pairs),
+    walk(node, seen) AS (SELECT a, a FROM e UNION SELECT w.node, e.b FROM walk w JOIN e ON e.a = w.seen), l AS (SELECT node, min(seen) AS label FROM walk GROUP BY node),
+    s AS (SELECT a AS node, round(sum(jaccard), 6) AS sim FROM e GROUP BY a), m AS (SELECT l.node, label, sim, observations FROM l JOIN s ON s.node = l.node JOIN memory_records r ON r.record_id = l.node)
+    SELECT node AS record_id, first_value(node) OVER (PARTITION BY label ORDER BY sim DESC, node) AS canonical, CAST(sum(observations) OVER (PARTITION BY label) + count(*) OVER (PARTITION BY label) AS BIGINT) AS absorbed FROM m"""
+
+
 def tg1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(raw(spark, sf_dir, "documents")).select("doc_id", "chunk_index", "start_line", "text_hash")
 
@@ -486,6 +492,7 @@ SQL = {
     "tm5_consolidate": duck_sql(_CONSOLIDATE_SQL),
     "tm7_prune": duck_sql(_PRUNE_SQL),
     "tm13_pairs": duck_sql(_PAIRS_SQL),
+    "tm13_clusters": duck_sql(_CLUSTERS_SQL),
     "tg1_chunks": _CHUNK_SQL,
     "tg3_as_of_label": _AS_OF_SQL,
     "tg9_gap_audit": _GAP_SQL,
