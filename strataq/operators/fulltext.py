@@ -84,10 +84,13 @@ def bm25(docs: DataFrame, terms: list[str], k: int = 10, id_col: str = "id") ->
     each = spread(docs).select(F.col(id_col).alias("id"), "path", *[_counted(c, terms).alias(f"c_{c}") for c in WEIGHTS])
     size = sum((F.col(f"c_{c}.dl") for c in WEIGHTS), F.lit(0))
     weighted = [sum((F.lit(w) * F.col(f"c_{c}.f{i}") for c, w in WEIGHTS.items()), F.lit(0.0)).alias(f"f{i}") for i in range(len(terms))]
-    counted = checkpointed(each).select("id", "path", size.alias("dl"), *weighted)
+    written = checkpointed(each)
+    counted = written.select("id", "path", size.alias("dl"), *weighted)
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count(F.when(F.col(f"f{i}") > 0, 1)).alias(f"n{i}") for i in range(len(terms))])
     matched = counted.where(F.greatest(*[F.col(f"f{i}") for i in range(len(terms))]) > 0 if len(terms) > 1 else F.col("f0") > 0)
-    return _best(matched.crossJoin(F.broadcast(stats)), len(terms), k).withColumnRenamed("id", id_col)
+    found = checkpointed(_best(matched.crossJoin(F.broadcast(stats)), len(terms), k))
+    forget(written)
+    return found.withColumnRenamed("id", id_col)
 
 
 def _best(matched: DataFrame, terms: int, k: int) -> DataFrame:

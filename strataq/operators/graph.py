@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from strataq.session import checkpointed, forget
 
+from . import traversal
+
 
 def neighbors(edges: DataFrame, start: str, depth: int, edge_types: list[str] | None = None, exclude_edge_types: list[str] | None = None, stored: bool = False) -> DataFrame:
     """(node, depth): nodes reached over out-edges in at most depth (1 to 10) hops, with the least number of hops.
@@ -32,30 +34,14 @@ def neighbors(edges: DataFrame, start: str, depth: int, edge_types: list[str] |
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    if not stored:
+        forget(own)
     return seen
 
 
 def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 8, stored: bool = False) -> list[str]:
     """Nodes of a shortest path over undirected edges; empty if there is none. Of equals, the one with least names."""
-    both = edges.select("from_node", "to_node").union(edges.select("to_node", "from_node"))
-    both = both if stored else checkpointed(both)
-    spark = edges.sparkSession
-    if source == target:
-        return [source]
-    seen = spark.createDataFrame([(source, "", 0)], "node string, parent string, hop int")
-    frontier = seen
-    for hop in range(1, max_depth + 1):
-        step = both.join(frontier.select(F.col("node").alias("from_node")), "from_node").groupBy(F.col("to_node").alias("node")).agg(F.min("from_node").alias("parent"))
-        frontier = checkpointed(step.join(seen.select("node"), "node", "left_anti").select("node", "parent", F.lit(hop).alias("hop")))
-        if frontier.isEmpty():
-            return []
-        seen = seen.unionByName(frontier)
-        if not frontier.where(F.col("node") == target).isEmpty():
-            path = [target]
-            while path[-1] != source:
-                path.append(seen.where(F.col("node") == path[-1]).first()["parent"])
-            return path[::-1]
-    return []
+    return traversal.path(edges, source, target, max_depth, stored=stored)
 
 
 def field_score(text: Column, tokens: list[str], query: str, exact: float, every: float, some: float) -> Column:
