@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.corpus import duck_sql, raw, view
-from strataq.operators import ann, chunking, enrichment, fulltext, fusion, graph, incremental, memory, policy, search_index, traversal, vectors
+from strataq.operators import ann, chunking, enrichment, evaluate, fulltext, fusion, graph, incremental, memory, policy, search_index, traversal, vectors
 from strataq.session import shared_dir
 from strataq.streaming import events as streams
 from strataq.streaming import tasks
@@ -127,6 +127,18 @@ def vx4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.exact(rows, rows.where("vec_id % 50 = 0")).select("query_id", "rank", F.col("id").alias("vec_id"), F.round("cosine", 6).alias("cosine"))
 
 
+def tm22_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the ten nearest vectors of every 50th tell its label: right are those of the same one, stale those of the label before."""
+    rows = raw(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question"), F.col("label").alias("own"))
+    found = ann.exact(rows, rows.where("vec_id % 50 = 0")).select(F.col("query_id").alias("question"), "rank", "id")
+    shown = found.join(rows.select(F.col("vec_id").alias("id"), "label"), "id")
+    others = rows.select(F.col("vec_id").alias("id"), "label")
+    gold = asked.join(others, (F.col("own") == F.col("label")) & (F.col("id") != F.col("question"))).select("question", "id")
+    stale = asked.join(others, F.col("own") == F.col("label") + 1).select("question", "id")
+    return evaluate.figures(evaluate.by_question(asked, shown, gold, 10, stale), 10)
+
+
 def vx6_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = raw(spark, sf_dir, "embeddings").select("vec_id", "label")
     return vectors.upsert(rows, rows.where("vec_id % 4 = 0").withColumn("label", F.lit(99)), "vec_id")
@@ -471,6 +483,9 @@ SQL = {
     "vx10_filtered_top_k": _cosine_sql("label = 1"),
     "vx4_exact": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS s FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, vec_id, round(s, 6) AS cosine FROM r WHERE rank <= 10""",
+    "tm22_figures": """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), r AS (SELECT q.vec_id AS question, q.label AS own, c.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.vec_id) AS rank FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+        j AS (SELECT question, count(*) FILTER (WHERE own = label) AS wanted, count(*) FILTER (WHERE rank <= 10) AS shown, count(*) FILTER (WHERE rank <= 10 AND own = label) AS hits, min(rank) FILTER (WHERE rank <= 10 AND own = label) AS first, count(*) FILTER (WHERE rank <= 10 AND own = label + 1) AS leaks FROM r GROUP BY question)
+        SELECT count(*) AS questions, round(avg(hits / CAST(least(wanted, 10) AS DOUBLE)), 6) AS recall, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0.0 END), 6) AS complete, round(avg(hits / CAST(shown AS DOUBLE)), 6) AS "precision", round(avg(coalesce(1.0 / first, 0.0)), 6) AS mrr, CAST(NULL AS DOUBLE) AS abstention, round(avg(CASE WHEN leaks > 0 THEN 1.0 ELSE 0.0 END), 6) AS leak_rate FROM j WHERE wanted > 0""",
     "vx6_upsert": "SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 99 ELSE label END AS label FROM embeddings",
     "ag23_centroids": "SELECT label, CAST(i - 1 AS INTEGER) AS dim, round(avg(CAST(x AS DOUBLE)), 6) AS mean, round(var_pop(CAST(x AS DOUBLE)), 6) AS variance, count(*) AS n FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) t GROUP BY label, i",
     "rf1_hybrid": _hybrid_sql(),
