@@ -257,13 +257,13 @@ class KnowledgeBase:
             F.col("heading_path").alias("heading"), F.col("text").alias("body"),
         )
 
-    def answers(self, questions: DataFrame, k: int = 10, identities: list[str] | None = None, default_public: bool = True, sources: list[str] | None = None, section: str | None = None) -> DataFrame:
+    def answers(self, questions: DataFrame, k: int = 10, identities: list[str] | None = None, default_public: bool = True, sources: list[str] | None = None, section: str | None = None, version: Version | None = None) -> DataFrame:
         """(question, rank, chunk_id, artifact_id, score) for a table of questions (question, terms), from the index alone.
 
         What the caller may not see, or did not ask for, is left out before anything is ranked; the statistics behind the
         scores are those of the whole base, so a chunk's score is the same for every caller.
         """
-        version = self.store.version()
+        version = version or self.store.version()
         of = self._live("postings", version)
         of = of.where(policy.visible(identities, default_public))
         if sources is not None:
@@ -277,9 +277,10 @@ class KnowledgeBase:
     def search(self, query: str, k: int = 10, identities: list[str] | None = None, default_public: bool = True, sources: list[str] | None = None, section: str | None = None) -> DataFrame:
         """(rank, chunk_id, artifact_id, path, heading, score, snippet): the k best chunks that the caller may see."""
         asked = self.spark.createDataFrame([("", fulltext.query_tokens(query) or [query.lower()])], "question string, terms array<string>")
-        rows = self.answers(asked, k, identities, default_public, sources, section).select("rank", "chunk_id", "artifact_id", "score").collect()
+        version = self.store.version()
+        rows = self.answers(asked, k, identities, default_public, sources, section, version).select("rank", "chunk_id", "artifact_id", "score").collect()
         found = F.broadcast(self.spark.createDataFrame(rows, "rank int, chunk_id string, artifact_id string, score double"))
-        version, names = self.store.version(), sorted({r["artifact_id"] for r in rows})
+        names = sorted({r["artifact_id"] for r in rows})
         only = F.col("artifact_id").isin(*names) if len(names) <= FILTERED else F.lit(True)
         texts = self.chunks(version).where(only).drop("run", "artifact_id").join(found, "chunk_id")
         about = self.artifacts(version).where(only).select("artifact_id", F.col("relative_path").alias("path"))
@@ -328,7 +329,7 @@ class KnowledgeBase:
         for arm in arms:
             if arm == "text":
                 asked = self.spark.createDataFrame([("", fulltext.query_tokens(query) or [query.lower()])], "question string, terms array<string>")
-                rows = self.answers(asked, POOL, identities, default_public, sources).select(F.col("chunk_id").alias("key"), F.col("artifact_id").alias("node"), "rank")
+                rows = self.answers(asked, POOL, identities, default_public, sources, version=version).select(F.col("chunk_id").alias("key"), F.col("artifact_id").alias("node"), "rank")
             elif arm == "vector":
                 own = self._live("vectors", version)
                 if embedder is None or own.isEmpty():
