@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -88,6 +89,55 @@ def test_ngram_join_repeated_and_null_ids(spark):
         (-1, 0, -1, -1), (-1, 3, -1, -1), (1, 3, 1, 0), (1, 3, 1, 2), (1, 3, 1, 2), (2, 3, 1, 2), (3, 0, 3, 0)]
 
 
+def test_ngram_join_sends_only_sets_with_a_partner(docs_of, monkeypatch):
+    """Texts that share a rare passage and no more are together in units; their shingles aren't sent, and near copies' are."""
+    words = lambda n: [f"v{R.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        passage = words(60)
+        texts += [" ".join([*words(30), *passage, *words(30)]) for _ in range(2)]
+    copied = words(200)
+    texts += [" ".join([*copied, *words(n)]) for n in (1, 10, 20)]
+    sent, sets_of = [], ngram_join._sets_of
+
+    def spy(members, rows):
+        sent.append(members.select("set").distinct().count())
+        return sets_of(members, rows)
+
+    monkeypatch.setattr(ngram_join, "_sets_of", spy)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.jaccard_components(docs_of(texts)).collect()}
+    assert found == ngram_join.plain_components(list(enumerate(texts)))
+    assert [found[i][1:] for i in (80, 81, 82)] == [(80, 2)] * 3
+    assert 3 <= sent[0] <= 6
+
+
+def test_sketches_keep_all_similar_sets():
+    """Every similar pair is close by its sketches, across widths and at the threshold; few others are."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in [*range(1, 12), 57, 63, 64, 65, 72, 120, 127, 128, 129, 150, 1000, 1024, 1100]:
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets.append(base)
+        sets += [np.concatenate([base[: n - k], rng.integers(0, 1 << 63, m, dtype=np.uint64)]) for k, m in ((0, n // 4), (n // 5, 0), (n // 9, n // 9), (n // 9 + 1, n // 9 + 1)) if n > k]
+    sets.sort(key=len)
+    sizes = np.array([len(x) for x in sets])
+    data = ngram_join.sketches(np.concatenate(sets), sizes)
+    close = {(a, b) for x, y in ngram_join.close_sketches(data, sizes) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    known = [set(x.tolist()) for x in sets]
+    similar = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(known[a] & known[b]) >= 80 * len(known[a] | known[b])}
+    assert len(similar) > 60 and similar <= close and len(close) < 2 * len(similar)
+    assert ngram_join.sketches(np.zeros(0, np.uint64), np.array([0, 0])) == [b"", b""] and ngram_join.sketches(np.zeros(0, np.uint64), np.zeros(0, np.int64)) == []
+
+
+def test_postings_by_columns():
+    rows = np.zeros(3, ngram_join.POSTING)
+    rows["shingle"], rows["set"], rows["size"] = [1 << 63, 5 << 32 | 7, 0], [1, (1 << 64) - 1, 3], [1, 300, 70_000]
+    data = ngram_join.posted(rows)
+    back = ngram_join.read_posted(data)
+    assert len(data) == 48 and back["shingle"].tolist() == [1 << 31, 5, 0] and (back[["set", "size"]] == rows[["set", "size"]]).all()
+    assert len(ngram_join.read_posted(b"")) == 0
+
+
 @pytest.mark.parametrize("common", [suffix_dedup.COMMON, 2])
 def test_suffix_dedup(docs_of, common):
     passages = ["".join(R.choice("abcdé ") for _ in range(n)) for n in (199, 200, 260, 420)]
