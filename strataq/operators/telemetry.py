@@ -61,10 +61,11 @@ def job_rollup(progress: DataFrame) -> DataFrame:
     )
 
 
-def throughput(samples: DataFrame, key: str, now: float) -> DataFrame:
+def throughput(samples: DataFrame, key: str, now: float, overdue: bool = False) -> DataFrame:
     """(key, rate, eta, stalled): from samples (key, at, done, total) in seconds; the last 30 of a key make its rate.
 
-    There is no rate without two samples, time between them and progress, no end without a rate and a total.
+    There is no rate without two samples, time between them and progress, no end without a rate and a total. Who has done
+    more than the total ends in 0 seconds, or with overdue in as many below 0 as that more has taken at this rate.
     """
     back = W.partitionBy(key).orderBy(F.desc("at"), F.desc("done"))
     kept = samples.withColumn("__n", F.row_number().over(back)).where(F.col("__n") <= SAMPLES)
@@ -74,7 +75,8 @@ def throughput(samples: DataFrame, key: str, now: float) -> DataFrame:
     )
     moved = (F.col("a1") > F.col("a0")) & (F.col("d1") > F.col("d0"))
     rate = F.when(moved, (F.col("d1") - F.col("d0")) / (F.col("a1") - F.col("a0")))
-    left = F.greatest(F.lit(0), F.col("total") - F.col("d1"))
+    left = F.col("total") - F.col("d1")
+    left = left if overdue else F.greatest(F.lit(0), left)
     return ends.select(key, rate.alias("rate"), F.when(F.col("total") > 0, left / rate).alias("eta"), (F.lit(now) - F.col("a1") > STALL_SECONDS).alias("stalled"))
 
 
