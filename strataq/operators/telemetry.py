@@ -80,16 +80,19 @@ def throughput(samples: DataFrame, key: str, now: float, overdue: bool = False)
     return ends.select(key, rate.alias("rate"), F.when(F.col("total") > 0, left / rate).alias("eta"), (F.lit(now) - F.col("a1") > STALL_SECONDS).alias("stalled"))
 
 
-def shards(sizes: DataFrame, count: int | None = None, most: int = 1_500_000) -> DataFrame:
+def shards(sizes: DataFrame, count: int | None = None, most: int | None = 1_500_000) -> DataFrame:
     """(source, files, nodes, shard, over): sources (source, files, nodes), the largest first, each into the least full shard.
 
     Without a count, as few shards as hold all nodes. over: the shard holds more than it should, which whole sources can't
-    mend. A row a source is all that is read here: the totals of sources, which are few, in one task.
+    mend; without a most, which takes a count, none is over. A row a source is all that is read here: the totals of
+    sources, which are few, in one task.
     """
+    if count is None and most is None:
+        raise ValueError("shards need a count, or the most that one holds")
     ship_package(sizes.sparkSession)
     wanted = sizes.where("files > 0").select("source", F.col("files").cast("long").alias("files"), F.col("nodes").cast("long").alias("nodes"))
     known = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum("nodes"), F.lit(0)).alias("nodes")).first()
-    bins = max(1, min(count or max(1, -(-known["nodes"] // max(1, most))), known["n"]))
+    bins = max(1, min(count or max(1, -(-known["nodes"] // max(1, most or 1))), known["n"]))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         heap = [(0, i + 1) for i in range(bins)]
@@ -102,4 +105,4 @@ def shards(sizes: DataFrame, count: int | None = None, most: int = 1_500_000) ->
             yield batch.assign(shard=of)
 
     placed = wanted.repartition(1).sortWithinPartitions(F.desc("files"), "source").mapInPandas(place, "source string, files long, nodes long, shard int")
-    return placed.withColumn("over", F.sum("nodes").over(W.partitionBy("shard")) > most)
+    return placed.withColumn("over", F.lit(False) if most is None else F.sum("nodes").over(W.partitionBy("shard")) > most)
