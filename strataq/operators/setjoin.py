@@ -8,7 +8,8 @@ are one class that meets others once; pairs of its members are made from the cla
 first is one key of a join of two shuffled sides, whose large partitions Spark splits.
 
 A low similarity has prefixes that are nearly whole, so that filter would bring the same pairs together once for each
-token they share. Then the sets of a bucket are dealt in blocks, every two of which meet in a task. It counts what each two sets share without making a row for a pair: by a product of matrices for
+token they share. Then, and where all pairs count anyway (a mean), the sets of a bucket are dealt in blocks, every two of
+which meet in a task. It counts what each two sets share without making a row for a pair: by a product of matrices for
 tokens that many of them have, by adding ones for the others. What a task holds is bounded; the time is quadratic in the
 sets of a bucket, and each set goes to as many tasks as its bucket has blocks.
 
@@ -100,6 +101,32 @@ def _in_blocks(whole: DataFrame, least: float) -> DataFrame:
     return _dealt(rows).mapInArrow(_cells(pairs), f"x {kind}, y {kind}, nx int, ny int, shared int")
 
 
+def mean_jaccard(rows: DataFrame) -> DataFrame:
+    """(mean_jaccard): the mean similarity of all pairs of sets, from their (id, token), each once; null without a pair."""
+    own = checkpointed(rows.where("id IS NOT NULL AND token IS NOT NULL").select("id", F.xxhash64("token").alias("h")))
+    several = own.groupBy("h").count().where("count > 1").select("h", F.lit(1).alias("met"))  # what one set has adds to its size only
+    sets = own.join(several, "h", "left").groupBy("id").agg(F.count("*").cast("int").alias("n"), F.collect_list(F.when(F.col("met") == 1, F.col("h"))).alias("t"))
+    sets = checkpointed(sets)
+    forget(own)
+    count = sets.count()
+
+    def sums(x: pa.Table, y: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+        nx, ny = x.column("n").to_numpy(), y.column("n").to_numpy()
+        total = 0.0
+        for begin, shared in _shared(x, y):
+            end = begin + len(shared)
+            shared = shared.astype(float)
+            part = shared / (nx[begin:end, None] + ny - shared)
+            total += float(part[np.arange(len(ny)) > np.arange(begin, end)[:, None]].sum() if same else part.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total])], ["total"])
+
+    totals = _dealt(sets.select(F.lit(0).cast("long").alias("key"), "id", "n", "t")).mapInArrow(_cells(sums), "total double")
+    pairs = count * (count - 1) // 2
+    found = checkpointed(totals.agg(F.round(F.coalesce(F.sum("total"), F.lit(0.0)) / F.lit(float(pairs) or None).cast("double"), 4).alias("mean_jaccard")))
+    forget(sets)
+    return found
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
     """Rows (key, i, j, side, id, n, t) of (key, id, n, t): the sets of blocks i (side 0) and j (side 1) of a key come together."""
     ship_package(rows.sparkSession)

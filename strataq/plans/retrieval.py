@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.corpus import duck_sql, raw, view
-from strataq.operators import ann, chunking, enrichment, evaluate, fulltext, fusion, graph, incremental, memory, policy, search_index, traversal, vectors
+from strataq.corpus import duck_sql, raw, run_sql, view
+from strataq.operators import ann, chunking, enrichment, evaluate, fulltext, fusion, graph, incremental, memory, policy, search_index, setjoin, traversal, vectors
 from strataq.session import shared_dir
 from strataq.streaming import events as streams
 from strataq.streaming import tasks
@@ -343,6 +343,12 @@ _CLUSTERS_SQL = f"""WITH RECURSIVE pairs AS MATERIALIZED (SELECT * FROM ({_PAIRS
     SELECT node AS record_id, first_value(node) OVER (PARTITION BY label ORDER BY sim DESC, node) AS canonical, CAST(sum(observations) OVER (PARTITION BY label) + count(*) OVER (PARTITION BY label) AS BIGINT) AS absorbed FROM m"""
 
 
+def ag22_mean_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean similarity of all pairs of conversations by their words; the SQL is that of the gallery."""
+    words = run_sql(spark, sf_dir, "SELECT DISTINCT conv_id AS id, w AS token FROM (SELECT conv_id, @UNNEST(@SPLIT(lower(text), ' ')) AS w FROM conversations) x WHERE length(w) > 1")
+    return setjoin.mean_jaccard(words)
+
+
 def tg1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(raw(spark, sf_dir, "documents")).select("doc_id", "chunk_index", "start_line", "text_hash")
 
