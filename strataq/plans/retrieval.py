@@ -132,11 +132,7 @@ def tm22_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = raw(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question"), F.col("label").alias("own"))
     found = ann.exact(rows, rows.where("vec_id % 50 = 0")).select(F.col("query_id").alias("question"), "rank", "id")
-    shown = found.join(rows.select(F.col("vec_id").alias("id"), "label"), "id")
-    others = rows.select(F.col("vec_id").alias("id"), "label")
-    gold = asked.join(others, (F.col("own") == F.col("label")) & (F.col("id") != F.col("question"))).select("question", "id")
-    stale = asked.join(others, F.col("own") == F.col("label") + 1).select("question", "id")
-    return evaluate.figures(evaluate.by_question(asked, shown, gold, 10, stale), 10)
+    return evaluate.figures(evaluate.by_label(asked, found, rows.select(F.col("vec_id").alias("id"), "label"), 10), 10)
 
 
 def vx6_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
